@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from rillflow.llm.simhash import op6_simhash_near_dedup
+from rillflow.llm.substring import op7_substring_dedup
 
 QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 SQL: dict[str, str] = {}
