@@ -7,8 +7,8 @@ pieces it has seen in a table that is emptied when it holds ``MEMORY`` of them (
 Byte offsets are the running sum of token lengths; a character's offset counts the bytes that start one. Decoding reverses
 the byte table; bytes of a character that two tokens share are joined before they are read as UTF-8, and bytes that
 aren't UTF-8 become U+FFFD in text but stay as they are in the decoded bytes. The classes of letters and numbers come from
-the pattern library's Unicode tables; a text with code points that these don't know yet is cut and encoded by tiktoken,
-whose tables are newer.
+the pattern library's Unicode tables, which can differ from tiktoken's for code points assigned lately; a text with code
+points that Python's own tables don't know is cut and encoded by tiktoken.
 
 Defined results: a null text is empty and has no ids; lone surrogates can't reach a Spark string; rows are never joined
 or moved, so ties, repeats, empty tables and further columns keep their form.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -64,8 +65,7 @@ class ByteBPE:
             merges += [(shown[a], shown[b]) for a, b in sorted(splits, key=lambda s: (ranks[s[0]], ranks[s[1]]))]
         self.tokenizer = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges))
         self.find = regex.compile(pattern).findall
-        self.unassigned = regex.compile(r"\p{Cn}").search
-        self.newer = tiktoken.Encoding("newer", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, list[int]] = {}
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
@@ -86,12 +86,12 @@ class ByteBPE:
         return found
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        odd = [i for i, t in enumerate(texts) if not t.isascii() and self.unassigned(t)]
+        odd = [i for i, t in enumerate(texts) if not t.isascii() and any(unicodedata.category(c) == "Cn" for c in set(t))]
         if odd:
             plain = [t if i not in odd else "" for i, t in enumerate(texts)]
             out = self.encode_known(plain)
             for i in odd:
-                out[i] = self.newer.encode_ordinary(texts[i])
+                out[i] = self.other.encode_ordinary(texts[i])
             return out
         return self.encode_known(texts)
 
