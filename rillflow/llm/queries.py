@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from rillflow.llm.bpe import op10_byte_bpe
+from rillflow.llm.mixing import mixing_sql, op5_mixing
 from rillflow.llm.simhash import op6_simhash_near_dedup
 from rillflow.llm.substring import op7_substring_dedup
 
 QUERIES = {
+    "op5_mixing": op5_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_mixing": mixing_sql()}
