@@ -6,8 +6,10 @@ from rillflow.llm.bpe import op10_byte_bpe
 from rillflow.llm.mixing import mixing_sql, op5_mixing
 from rillflow.llm.simhash import op6_simhash_near_dedup
 from rillflow.llm.substring import op7_substring_dedup
+from rillflow.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op5_mixing": op5_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
