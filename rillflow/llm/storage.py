@@ -26,14 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    After the write nothing refers to the shuffles below, so Spark's cleaner can free their files; the collection that
-    lets it notice is asked for here, because a driver that only plans seldom collects by itself.
+    Once the next job has begun nothing refers to the shuffles below, so Spark's cleaner can free their files. Reading the
+    schema from the files is that job; the collection that lets the cleaner notice is asked for here, because a driver
+    that only plans seldom collects by itself.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written = spark.read.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return written
 
 
 def drop(df: DataFrame) -> None:

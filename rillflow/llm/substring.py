@@ -6,7 +6,7 @@ first keeper, by doc_id, keeps them.
 Seeds: each document's ``ANCHOR``-word grams are winnowed so that any ``length`` consecutive words hold a chosen gram, and
 two documents that share those words choose the same one. Anchors found in more than one document are joined back to the
 documents. Extension: around each such anchor every window of ``length`` words that holds it is formed, both ways; the
-windows are matched by a 64-bit and a 32-bit hash and compared with the least doc_id of each. The union of the matched
+windows are matched by a 64-bit and a 32-bit hash and held against the least doc_id of each. The union of the matched
 windows of a document is the set of its maximal repeats over the threshold. Matching by least doc_id costs work in
 proportion to the anchors, however many documents share a passage: no pairs of documents are formed. Both aggregations
 combine before the shuffle, and the joins back have one row per key on one side, so a hot key can be split.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.storage import materialize
+from rillflow.llm.storage import drop, materialize
 from rillflow.llm.words import gram_hashes, sequence_hashes, text_slices, winnowed, word_hashes, word_spans
 
 LENGTH = 13
@@ -67,7 +67,7 @@ def seeds(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
 
 
 def _windows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(doc_id, whole, h, c, start) of the windows around the listed anchors of (doc_id, text, found)."""
+    """(doc_id, h, c) of the windows around the listed anchors of (doc_id, text, found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,14 +88,10 @@ def _windows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 for o in range(length - anchor + 1):
                     near[np.maximum(chosen - o, 0)] |= chosen >= o
                 at_ = np.flatnonzero(near[: len(full)] & whole)
-                first = np.searchsorted(doc, np.arange(part.num_rows))
                 of = doc[at_]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(of)), pa.array(sequence_hashes(words, doc, part.num_rows).view(np.int64)[of]), _signed(full[at_]), pa.array((check[at_] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((at_ - first[of]).astype(np.int32))],
-                    names=["doc_id", "whole", "h", "c", "start"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), _signed(full[at_]), pa.array((check[at_] >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc_id", "h", "c"])
 
-    return docs.mapInArrow(run, "doc_id long, whole long, h long, c int, start int")
+    return docs.mapInArrow(run, "doc_id long, h long, c int")
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
@@ -106,7 +102,10 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
             for part, data, at in text_slices(b):
                 n = part.num_rows
                 starts, ends, doc = word_spans(data, at)
-                seq = sequence_hashes(word_hashes(data, starts, ends), doc, n).view(np.int64)
+                hashes = word_hashes(data, starts, ends)
+                seq = sequence_hashes(hashes, doc, n).view(np.int64)
+                full, whole = gram_hashes(hashes, doc, length)
+                full = full.view(np.int64)
                 edge = np.searchsorted(doc, np.arange(n + 1))
                 kept, words, removed = [], np.diff(edge), np.zeros(n, np.int64)
                 copies, hits, raw = part.column("copies"), part.column("hits"), data.tobytes()
@@ -116,8 +115,8 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                     if copies[i].is_valid and seq[i] in copies[i].as_py():
                         gone[:] = True
                     elif hits[i].is_valid:
-                        x = hits[i].values
-                        got = x.field("start").to_numpy()[x.field("whole").to_numpy() == seq[i]]
+                        own = slice(edge[i], max(edge[i], edge[i + 1] - length + 1))
+                        got = np.flatnonzero(np.isin(full[own], hits[i].values.to_numpy()) & whole[own])
                         step = np.zeros(len(s) + length + 1, np.int64)
                         np.add.at(step, got, 1)
                         np.add.at(step, got + length, -1)
@@ -142,10 +141,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     shared = occurs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     found = occurs.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("found"))
     found = materialize(found.join(copied.alone, "doc_id", "left_anti"), "substring-anchors")
-    windows = _windows(plain.join(found, "doc_id"), length, anchor)
+    drop(seed)
+    windows = materialize(_windows(plain.join(found, "doc_id"), length, anchor), "substring-windows")
     least = windows.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "c", "lo")
-    hits = windows.join(least, ["h", "c"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set(F.struct("whole", "start")).alias("hits"))
+    hits = windows.join(least, ["h", "c"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
     gone = materialize(hits.join(copied.rows, "doc_id", "full").select("doc_id", "copies", "hits"), "substring-hits")
+    drop(windows)
     inner = [c for c in docs.columns if c not in ("doc_id", "text")]
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*inner, F.lit(0).alias("rest__")).alias("rest__"))
     cut = _cut(typed.join(gone, "doc_id", "left").select("doc_id", "text", "rest__", "copies", "hits"), length)
