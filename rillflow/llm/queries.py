@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rillflow.llm.ann import op1_ann
 from rillflow.llm.bpe import op10_byte_bpe
+from rillflow.llm.collisions import op9_embedding_near_dedup
 from rillflow.llm.mixing import mixing_sql, op5_mixing
 from rillflow.llm.simhash import op6_simhash_near_dedup
 from rillflow.llm.substring import op7_substring_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op5_mixing": op5_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
 }
