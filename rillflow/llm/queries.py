@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rillflow.llm.ann import op1_ann
 from rillflow.llm.bpe import op10_byte_bpe
+from rillflow.llm.chat import op3_chat_formatting
 from rillflow.llm.collisions import op9_embedding_near_dedup
 from rillflow.llm.mixing import mixing_sql, op5_mixing
 from rillflow.llm.simhash import op6_simhash_near_dedup
@@ -13,6 +14,7 @@ from rillflow.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_toxicity": op2_toxicity,
+    "op3_chat_formatting": op3_chat_formatting,
     "op5_mixing": op5_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
