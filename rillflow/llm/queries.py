@@ -6,17 +6,21 @@ from rillflow.llm.ann import op1_ann
 from rillflow.llm.bpe import op10_byte_bpe
 from rillflow.llm.chat import op3_chat_formatting
 from rillflow.llm.collisions import op9_embedding_near_dedup
+from rillflow.llm.html import op4_html_extraction
 from rillflow.llm.mixing import mixing_sql, op5_mixing
 from rillflow.llm.simhash import op6_simhash_near_dedup
 from rillflow.llm.substring import op7_substring_dedup
+from rillflow.llm.tokencounts import op8_token_counts
 from rillflow.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_toxicity": op2_toxicity,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_html_extraction": op4_html_extraction,
     "op5_mixing": op5_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,

@@ -39,3 +39,15 @@ def components(nodes: list, links: list[tuple]) -> dict:
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
     return {n: find(n) for n in nodes}
+
+
+def sections(text: str, spans: list[tuple[int, int]], tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(characters, tokens, crossing tokens) of each section, token by token."""
+    out = [[e - s, 0, 0] for s, e in spans]
+    for a, b in tokens:
+        b = max(b, a + 1)
+        held = [max(0, min(b, e) - max(a, s)) for s, e in spans]
+        best = held.index(max(held))
+        out[best][1] += 1
+        out[best][2] += sum(h > 0 for h in held) > 1
+    return [tuple(x) for x in out]
