@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from rillflow.plans import packetplans
+
+QUERIES = {**packetplans.QUERIES}
+SQL: dict[str, str] = {**packetplans.SQL}
