@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillflow.plans import packetplans
+from rillflow.plans import packetplans, scoringplans
 
-QUERIES = {**packetplans.QUERIES}
-SQL: dict[str, str] = {**packetplans.SQL}
+QUERIES = {**packetplans.QUERIES, **scoringplans.QUERIES}
+SQL: dict[str, str] = {**packetplans.SQL, **scoringplans.SQL}

@@ -80,12 +80,11 @@ def rnd(x: str, digits: int = 4) -> str:
     return f"floor({x} * {float(10**digits)}::double + 0.5::double) / {float(10**digits)}::double"
 
 
-_Z = "list_transform(list_zip(x, mean, scale), z -> (z[1] - z[2]) / z[3])"
 #: Flows' standardised and L2-normalised features, and their centroid and threshold.
 SCALER = f"""{FLOWS}, scaler as (select {', '.join(f"avg({f}) as mean_{f}, case when stddev_pop({f}) = 0 then 1.0 else stddev_pop({f}) end as scale_{f}" for f in FEATURES)} from flows)"""
 EMBEDDED = f"""{SCALER}, scaled as (select flows.*, [{', '.join(f'({f} - mean_{f}) / scale_{f}' for f in FEATURES)}]::double[] as z from flows, scaler),
-embedded as (select *, list_transform(z, x -> x / greatest(sqrt(list_sum(list_transform(z, y -> y * y))), 1e-12)) as v from scaled),
+embedded as (select *, list_transform(z, lambda x: x / greatest(sqrt(list_sum(list_transform(z, lambda y: y * y))), 1e-12)) as v from scaled),
 center as (select [{', '.join(f'avg(v[{i + 1}])' for i in range(len(FEATURES)))}] as mu from embedded)"""
-DISTANCE = "list_sum(list_transform(range(1, len({v}) + 1), i -> ({v}[i] - {mu}[i]) * ({v}[i] - {mu}[i])))"
+DISTANCE = "list_sum(list_transform(range(1, len({v}) + 1), lambda i: ({v}[i] - {mu}[i]) * ({v}[i] - {mu}[i])))"
 SCORED = f"""{EMBEDDED}, distances as (select embedded.*, {DISTANCE.format(v='v', mu='mu')} as score from embedded, center),
 delta as (select quantile_cont(score, 0.95) as delta from distances), scored as (select *, score > delta as is_anomaly from distances, delta)"""
