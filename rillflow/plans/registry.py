@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillflow.plans import packetplans, scoringplans
+from rillflow.plans import packetplans, scoringplans, streamplans
 
-QUERIES = {**packetplans.QUERIES, **scoringplans.QUERIES}
-SQL: dict[str, str] = {**packetplans.SQL, **scoringplans.SQL}
+QUERIES = {**packetplans.QUERIES, **scoringplans.QUERIES, **streamplans.QUERIES}
+SQL: dict[str, str] = {**packetplans.SQL, **scoringplans.SQL, **streamplans.SQL}
