@@ -20,7 +20,7 @@ import base64
 import os
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,7 +32,9 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMORY = 300_000
+from rillflow.llm.storage import map_texts
+
+MEMORY = 100_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -43,6 +45,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 class ByteBPE:
     """Encoder and decoder for one rank file; made once in each worker."""
 
@@ -50,8 +57,7 @@ class ByteBPE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = read_ranks(path)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -65,9 +71,13 @@ class ByteBPE:
             merges += [(shown[a], shown[b]) for a, b in sorted(splits, key=lambda s: (ranks[s[0]], ranks[s[1]]))]
         self.tokenizer = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges))
         self.find = regex.compile(pattern).findall
-        self.other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.path, self.pattern = path, pattern
         self.known: dict[str, list[int]] = {}
 
+    @cached_property
+    def other(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=read_ranks(self.path), special_tokens={})
+
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """The pattern's matches in each text; after this every one of them is in ``known``."""
         found = [self.find(t) for t in texts]
@@ -75,8 +85,9 @@ class ByteBPE:
         if len(self.known) + len(new) > MEMORY:
             self.known = {}
             new = set(chain.from_iterable(found))
-        if new:
-            order = list(new)
+        todo = list(new)
+        for first in range(0, len(todo), 4000):
+            order = todo[first : first + 4000]
             mapped = [p.encode().decode("latin-1").translate(self.table) for p in order]
             coded = self.tokenizer.encode(mapped, is_pretokenized=True, add_special_tokens=False)
             ids, words = np.array(coded.ids, np.int64), np.array(coded.word_ids, np.int64)
@@ -91,7 +102,7 @@ class ByteBPE:
             plain = [t if i not in odd else "" for i, t in enumerate(texts)]
             out = self.encode_known(plain)
             for i in odd:
-                out[i] = self.other.encode_ordinary(texts[i])
+                out[i] = self.other.encode_ordinary(texts[i])  # made when first needed
             return out
         return self.encode_known(texts)
 
@@ -119,7 +130,7 @@ def coder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def batch_texts(column: pa.Array, limit: int = 1 << 20) -> Iterator[list[str]]:
+def batch_texts(column: pa.Array, limit: int = 1 << 19) -> Iterator[list[str]]:
     """The texts of an Arrow column, nulls as empty, in lists of about ``limit`` characters."""
     rows, size = [], 0
     for x in pc.fill_null(column, ""):
@@ -151,7 +162,7 @@ def encode(docs: DataFrame, column: str = "text", path: str | None = None, patte
                 done += len(texts)
 
     kinds = [f.dataType.simpleString() for f in docs.schema.fields] + ["array<int>"] * (3 if offsets else 1)
-    coded = docs.toDF(*map(str, range(len(docs.columns)))).mapInArrow(run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
+    coded = map_texts(docs.toDF(*map(str, range(len(docs.columns)))), run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
     return coded.toDF(*docs.columns, "ids__", *(["starts__", "ends__"] if offsets else []))
 
 
@@ -169,7 +180,7 @@ def decode(coded: DataFrame, column: str = "ids__", path: str | None = None) ->
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[str(i) for i in range(b.num_columns + 1)])
 
     kinds = [f.dataType.simpleString() for f in coded.schema.fields] + ["binary"]
-    done = coded.toDF(*map(str, range(len(coded.columns)))).mapInArrow(run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
+    done = map_texts(coded.toDF(*map(str, range(len(coded.columns)))), run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
     return done.toDF(*coded.columns, "decoded__")
 
 

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.llm.storage import map_texts
+
 PATCH = 28
 AUDIO_RATE = 25
 PAGE_TOKENS = 600
@@ -140,7 +142,7 @@ def format_turns(turns: DataFrame, role: str = "role", content: str = "content")
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[str(i) for i in range(b.num_columns + len(more))])
 
     kinds = [f.dataType.simpleString() for f in turns.schema.fields] + ["string", "int", "int", f"array<{ATTACHMENT}>", "long"]
-    done = turns.toDF(*map(str, range(len(turns.columns)))).mapInArrow(run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
+    done = map_texts(turns.toDF(*map(str, range(len(turns.columns)))), run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
     return done.toDF(*turns.columns, "formatted__", "loss_start__", "loss_end__", "attachments__", "expanded_tokens__")
 
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.llm.storage import map_texts
+
 #: Fixed values of the HTML standard: elements without content, with raw content, and that stand for blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
@@ -258,7 +260,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, text], names=[str(i) for i in range(len(kept) + 1)])
 
     kinds = [f.dataType.simpleString() for i, f in enumerate(pages.schema.fields) if i != at] + ["string"]
-    done = pages.toDF(*map(str, range(len(pages.columns)))).mapInArrow(run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
+    done = map_texts(pages.toDF(*map(str, range(len(pages.columns)))), run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
     return done.toDF(*others, "text__")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm.components import connected_components
-from rillflow.llm.storage import materialize
+from rillflow.llm.storage import map_texts, materialize
 
 DISTANCE = 4
 EXTRA_BLOCKS = 2
@@ -70,7 +70,8 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WOR
             got = [fingerprint(x or "", shingle) for x in (v.as_py() for v in b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(got, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return map_texts(rows, run, "doc_id long, fp long")
 
 
 def _block_masks(distance: int, extra: int) -> list[int]:
@@ -152,12 +153,10 @@ def close_pairs(distinct: DataFrame, distance: int = DISTANCE, extra: int = EXTR
             # a run whose rows all have other == side compares within; the mixed part of a cut key compares across
             return out(*_links(c["run"], c["side"], c["mixed"], c["fp"].view(np.uint64), c["rep"], distance))
 
-        for b in batches:
-            now = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
+        for b in _larger(batches):
+            now = {n: b.column(n).to_numpy() for n in names}
             if kept is not None:
                 now = {n: np.concatenate([kept[n], now[n]]) for n in names}
-            if not len(now["run"]):
-                continue
             last = int(np.searchsorted(now["run"], now["run"][-1]))
             kept = {n: v[last:] for n, v in now.items()}
             if last:
@@ -168,6 +167,19 @@ def close_pairs(distinct: DataFrame, distance: int = DISTANCE, extra: int = EXTR
     return rows.repartition("run").sortWithinPartitions("run").mapInArrow(search, "a long, b long")
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows from smaller batches."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def near_duplicate_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE_WORDS, extra: int = EXTRA_BLOCKS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable by links."""
     fps = materialize(fingerprints(docs, shingle=shingle), "simhash")

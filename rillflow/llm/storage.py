@@ -38,6 +38,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+BATCH_ROWS = 2000
+
+
+def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches that leave room for long texts: whole documents, two tasks to a small executor.
+
+    The session's batch size is lowered for this, never raised.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialize`` that nothing will read again."""
     spark = df.sparkSession

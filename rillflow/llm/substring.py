@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.storage import drop, materialize
+from rillflow.llm.storage import drop, map_texts, materialize
 from rillflow.llm.words import gram_hashes, sequence_hashes, text_slices, winnowed, word_hashes, word_spans
 
 LENGTH = 13
@@ -63,7 +63,7 @@ def seeds(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
                     names=["doc_id", "n_words", "whole", "check", "anchors"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, whole long, check long, anchors array<long>")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, n_words long, whole long, check long, anchors array<long>")
 
 
 def _windows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -91,7 +91,7 @@ def _windows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 of = doc[at_]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), _signed(full[at_]), pa.array((check[at_] >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc_id", "h", "c"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, c int")
+    return map_texts(docs, run, "doc_id long, h long, c int")
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                 )
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-2])
-    return docs.mapInArrow(run, f"{types}, kept_text__ string, n_words__ long, n_removed__ long")
+    return map_texts(docs, run, f"{types}, kept_text__ string, n_words__ long, n_removed__ long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:

@@ -29,6 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.llm.storage import map_texts
 from rillflow.llm.words import text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -102,7 +103,7 @@ def attribute(docs: DataFrame, lengths: str | None = None, path: str | None = No
                 )
 
     columns = ["doc_id", F.col("text").cast("string").alias("text"), *([lengths] if lengths else [])]
-    return docs.select(*columns).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, section int, n_chars long, n_tokens long, n_crossing long")
+    return map_texts(docs.select(*columns), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, section int, n_chars long, n_tokens long, n_crossing long")
 
 
 def _given_bounds(parts: list[list[int] | None], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.storage import materialize
+from rillflow.llm.storage import map_texts, materialize
 
 DECAY = 0.6
 REACH = 3
@@ -256,7 +256,7 @@ def _scored(sample: DataFrame, weights: np.ndarray, n: int) -> list:
                 )
                 done += len(texts)
 
-    return sample.mapInArrow(run, "toxic int, spans array<string>, values array<double>").collect()
+    return map_texts(sample, run, "toxic int, spans array<string>, values array<double>").collect()
 
 
 class Model:
@@ -327,7 +327,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 done += len(texts)
 
     kinds = [f.dataType.simpleString() for f in docs.schema.fields] + ["double"]
-    done = docs.toDF(*map(str, range(len(docs.columns)))).mapInArrow(run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
+    done = map_texts(docs.toDF(*map(str, range(len(docs.columns)))), run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
     return done.toDF(*docs.columns, "score__")
 
 
