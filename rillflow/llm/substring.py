@@ -9,7 +9,8 @@ documents. Extension: around each such anchor every window of ``length`` words t
 windows are matched by a 64-bit and a 32-bit hash and held against the least doc_id of each. The union of the matched
 windows of a document is the set of its maximal repeats over the threshold. Matching by least doc_id costs work in
 proportion to the anchors, however many documents share a passage: no pairs of documents are formed. Both aggregations
-combine before the shuffle, and the joins back have one row per key on one side, so a hot key can be split.
+combine before the shuffle and are written; the joins back then shuffle both sides for themselves, with one row per key on
+one side, so that adaptive execution splits a hot key.
 
 Documents that repeat a smaller doc_id's whole word sequence are found by one hash and need no extension.
 
@@ -139,11 +140,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     copied = Copies(seed, length)
     occurs = seed.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = occurs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    shared = materialize(shared, "substring-shared")
     found = occurs.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("found"))
     found = materialize(found.join(copied.alone, "doc_id", "left_anti"), "substring-anchors")
     drop(seed)
     windows = materialize(_windows(plain.join(found, "doc_id"), length, anchor), "substring-windows")
     least = windows.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "c", "lo")
+    least = materialize(least, "substring-least")
     hits = windows.join(least, ["h", "c"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
     gone = materialize(hits.join(copied.rows, "doc_id", "full").select("doc_id", "copies", "hits"), "substring-hits")
     drop(windows)
