@@ -128,8 +128,11 @@ def links(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Da
         got = total > 0
         return pa.table([pa.array(rep[got]), pa.array(total[got]), pa.array(root[got])], names=["node", "links", "root"])
 
+    # by the greatest component first, so that no square overflows or vanishes
+    most = F.array_max(F.transform("v", lambda z: F.abs(z)))
+    even = distinct.select("label", "rep", "n", F.transform("v", lambda z: z / most).alias("v"))
     scaled = F.transform("v", lambda z: z / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, t: s + t * t)))
-    rows = distinct.select("label", "rep", "n", scaled.alias("v")).withColumn("dim", F.size("v"))
+    rows = even.select("label", "rep", "n", scaled.alias("v")).withColumn("dim", F.size("v"))
     width = sqrt(2 - 2 * cosine) * 1.000001
     # the first line, as a unit vector: projections of a linked pair are less than a cell apart
     dims = [r["dim"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc()).limit(64).collect()]
@@ -161,3 +164,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def near_duplicates_sql() -> str:
+    return f"""
+with recursive v as (select vec_id, embedding::double[] as e, label, coalesce(label is not null and vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as ok from embeddings),
+near as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where a.ok and b.ok and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach as (select vec_id as a, vec_id as b from v union select r.a, n.b from reach r join near n on r.b = n.a),
+roots as (select a, min(b) as component_id from reach group by a),
+counts as (select a, count(*) as n from near group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, false) as kept from v left join counts on vec_id = counts.a left join roots on vec_id = roots.a
+"""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from rillflow.llm.ann import op1_ann
 from rillflow.llm.bpe import op10_byte_bpe
-from rillflow.llm.chat import op3_chat_formatting
-from rillflow.llm.collisions import op9_embedding_near_dedup
+from rillflow.llm.chat import chat_sql, op3_chat_formatting
+from rillflow.llm.collisions import near_duplicates_sql, op9_embedding_near_dedup
 from rillflow.llm.html import op4_html_extraction
 from rillflow.llm.mixing import mixing_sql, op5_mixing
 from rillflow.llm.simhash import op6_simhash_near_dedup
-from rillflow.llm.substring import op7_substring_dedup
+from rillflow.llm.substring import op7_substring_dedup, substring_sql
 from rillflow.llm.tokencounts import op8_token_counts
 from rillflow.llm.toxicity import op2_toxicity
 
@@ -26,4 +26,9 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
 }
 
-SQL: dict[str, str] = {"op5_mixing": mixing_sql()}
+SQL: dict[str, str] = {
+    "op3_chat_formatting": chat_sql(),
+    "op5_mixing": mixing_sql(),
+    "op7_substring_dedup": substring_sql(),
+    "op9_embedding_near_dedup": near_duplicates_sql(),
+}

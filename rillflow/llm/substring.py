@@ -186,3 +186,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         new = new.withColumn("n_chars", F.when(F.col("n_removed__") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return new.select(docs.columns)
+
+
+def substring_sql(length: int = LENGTH) -> str:
+    return rf"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+starts as (select doc_id, words, unnest(range(1, len(words) - {length} + 2)) as i from w where len(words) >= {length}),
+windows as (select doc_id, i, array_to_string(words[i:i + {length} - 1], ' ') as k from starts),
+firsts as (select k, min(doc_id) as lo from windows group by k having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, unnest(range(i, i + {length})) as pos from windows join firsts using (k) where doc_id > lo),
+every as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from w),
+kept as (select e.doc_id, count(*) filter (where g.pos is not null) as n_removed, string_agg(e.word, ' ' order by e.pos) filter (where g.pos is null) as text from every e left join gone g using (doc_id, pos) group by e.doc_id)
+select w.doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
