@@ -3,12 +3,13 @@
 Kernel: two spans are alike by their common ordered triples of characters, each weighted by ``DECAY`` for every step that
 it stretches over; up to ``REACH - 1`` characters may be left out at each step, so gaps and inserted characters lower the
 weight and don't break the match. A span is a word with its bounding blanks; a run of single letters ("i d i o t") is one
-span, its blanks being gaps. Marks inside a word are gaps too. The kernel is divided by a span's own weight.
+span. Marks don't count, so "i.d.i.o.t" is the same span again. The kernel is divided by a span's own weight.
 
 Model: landmarks are the words that the labelled sample's toxic and clean documents tell apart, and the clean words that a
 first model takes for toxic. A span's vector holds its kernel values to the landmarks, whitened by the landmarks' own
 kernel matrix (Nyström). The support vector machine is trained on the spans of labelled sentences: of a toxic document the
-one most toxic by the model so far, of a clean one its worst few; this is repeated ``ROUNDS`` times. Since the vector is
+one most toxic by the model so far and the words that are certain by their counts (with a letter put in at each place, too),
+of a clean one its worst few; this is repeated ``ROUNDS`` times. Since the vector is
 linear in the triples' weights, the trained model folds into one table of a weight per triple, and scoring a text is a
 lookup for each triple of its characters: whole texts, in numpy, with no loop over words. A document's value is that of
 its worst span, turned into a probability by a logistic fit on the training documents.
@@ -41,6 +42,8 @@ LANDMARKS = 160
 ROUNDS = 3
 WORST = 4
 FLOOR = -3.0
+CERTAIN = 5.0
+REPEATS = 10
 _SIZE, _BLANK = 64, 63
 _SLICE = 1 << 18
 
@@ -70,15 +73,16 @@ def classes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found, starts
 
 
-def _spans(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``c`` with the blanks between single letters made gaps, and the running count of the blanks that are left."""
+def _spans(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``c`` without marks and without the blanks between single letters, the running count of its blanks, and its places."""
     blank = c == _BLANK
     alone = np.zeros(len(c), bool)
     alone[1:-1] = ~blank[1:-1] & blank[:-2] & blank[2:] & (c[1:-1] > 0)
     gap = np.zeros(len(c), bool)
     gap[1:-1] = blank[1:-1] & alone[:-2] & alone[2:]
-    c = np.where(gap, np.uint8(0), c)
-    return c, np.cumsum(c == _BLANK, dtype=np.int32)
+    at = np.flatnonzero((c > 0) & ~gap)
+    c = c[at]
+    return c, np.cumsum(c == _BLANK, dtype=np.int32), at
 
 
 def _triples(c: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -92,7 +96,7 @@ def _triples(c: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
                 continue
             a, b, k = wide[:m], wide[d : d + m], wide[d + e :]
             # no blank strictly inside: the ends may be the span's bounding blanks
-            ok = (a > 0) & (b > 0) & (b != _BLANK) & (k > 0) & (upto[d + e - 1 : n - 1] == upto[:m])
+            ok = (b != _BLANK) & (upto[d + e - 1 : n - 1] == upto[:m])
             at = np.flatnonzero(ok)
             yield at, (a[at] << 12) | (b[at] << 6) | k[at], DECAY ** (d + e)
 
@@ -100,7 +104,7 @@ def _triples(c: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 def span_values(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(value, start, end, text) of every span with a triple. ``weights`` is the table of triple weights."""
     c, starts = classes(texts)
-    c, upto = _spans(c)
+    c, upto, place = _spans(c)
     got, own = np.zeros(len(c), np.float32), np.zeros(len(c), np.float32)
     for at, code, w in _triples(c, upto):
         got[at] += weights[code] * np.float32(w)
@@ -109,7 +113,7 @@ def span_values(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.n
     opens = np.flatnonzero(c == _BLANK)
     value, weight = np.add.reduceat(got, opens), np.add.reduceat(own, opens)
     full = weight > 0
-    first, last = opens[full], np.append(opens[1:], len(c))[full]
+    first, last = place[opens[full]], place[np.append(opens[1:], len(c) - 1)[full]]
     return value[full] / np.sqrt(weight[full]), first + 1, last, np.searchsorted(starts, first, "right") - 1
 
 
@@ -156,8 +160,8 @@ def slices(column: pa.Array, limit: int = _SLICE) -> Iterator[list[str]]:
 def _sparse(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, triple, weight) of the words' triples, divided by each word's own weight."""
     c, starts = classes(words)
-    c, upto = _spans(c)
-    parts = [(np.searchsorted(starts, at, "right") - 1, code, np.full(len(at), w)) for at, code, w in _triples(c, upto)]
+    c, upto, place = _spans(c)
+    parts = [(np.searchsorted(starts, place[at], "right") - 1, code, np.full(len(at), w)) for at, code, w in _triples(c, upto)]
     word, code, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
     own = np.bincount(word, weight * weight, len(words))
     return word, code, weight / np.sqrt(own[word])
@@ -226,6 +230,11 @@ def logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.0), b
 
 
+def with_insertions(word: str) -> list[str]:
+    """The word with one letter put in, at each place."""
+    return [word[:i] + "xeo"[i % 3] + word[i:] for i in range(1, len(word))]
+
+
 def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     """(text, toxic) of at most ``size`` labelled rows of either kind that aren't held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -303,6 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, landmarks
         positive = [r["spans"][0] for r in rows if r["toxic"] and r["spans"]]
         known_clean = set(negative)
         positive = [s for s in positive if s not in known_clean] or positive
+        # words that toxic sentences hold far beyond chance count too where a worse one stands beside them
+        certain = [w for w, z in bad if z > CERTAIN and w not in known_clean]
+        positive += [w for w in certain for _ in range(REPEATS)] + [v for w in certain for v in with_insertions(w)]
         x = [*positive, *negative]
         y = np.array([1] * len(positive) + [0] * len(negative))
         unique, back, count = np.unique(np.array(x, object), return_inverse=True, return_counts=True)
