@@ -2,12 +2,14 @@
 
 A page is read into a tree once. Each node has the characters and tags below it and those of them inside links; its
 density is characters per tag, scaled down by a logarithm as its share of link text nears that of the body. The densities of
-a node's children are summed, and the node of greatest sum is the candidate; the least density on the path from it to the
-body is the threshold that content must reach. Where the page marks articles (or a main part), the choice is among these,
-by the same sum; else the candidate's nearest ancestors are preferred as long as their own sums are as great.
+a node's children are summed, and of all nodes the one of greatest sum is the candidate; the least density on the path from
+it to the body is the threshold. The candidate is kept, and so is every subtree beside its path that reaches the threshold;
+of a side that holds such a subtree the node of greatest sum is kept too, so that short paragraphs among long ones stay.
+An article (else a main part) goes first where sums are equal, and is kept whole where some of it is kept; these elements
+never take a subtree out.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, comments of readers, and what is hidden are cut off before
-(by their elements, roles and class names), as are scripts and styles. All other text of the chosen part is kept, in page
+(by their elements, roles and class names), as are scripts and styles. All other text of the kept parts stays, in page
 order: one line per block, white space turned into single spaces, character references decoded.
 
 Defined results: null or empty pages, and pages without a text outside the parts that are cut off, give an empty text;
@@ -183,33 +185,52 @@ def measured(root: Node) -> list[Node]:
     return order
 
 
-def chosen(root: Node) -> Node | None:
-    """The subtree that holds the main text."""
+def chosen(root: Node) -> list[Node]:
+    """The subtrees that hold the main text, in page order."""
     order = measured(root)
     if not root.chars:
-        return None
-    marked = [n for n in order if n.tag == "article" and n.chars] or [n for n in order if n.tag == "main" and n.chars]
-    if marked:
-        # of nested articles the outer one holds the inner ones' text too; replies to it are cut off by name
-        best = max(marked, key=lambda n: (n.total, n.chars))
-        node = best
-        while node is not None:
-            if node.tag == best.tag:
-                best = node
-            node = node.parent
-        return best
-    best = max(order, key=lambda n: (n.total, n.chars))
-    if not best.total:
-        best = root
-    path, node = [], best
-    while node is not None:
-        path.append(node.density)
+        return []
+    most = max(n.total for n in order)
+    if not most:
+        return [root]
+    ties = [n for n in order if n.total >= most * (1 - 1e-9)]
+    best = max(ties, key=lambda n: (n.tag == "article", n.tag == "main", n.chars))
+    path, threshold, node = {best}, best.density, best
+    while node.tag != "body" and node.parent is not None:
         node = node.parent
-    threshold = min(path)
-    node = best.parent
-    while node is not None and node.tag not in ("html", "body") and node.density >= threshold and node.total >= best.total:
-        best, node = node, node.parent
-    return best
+        path.add(node)
+        threshold = min(threshold, node.density)
+    while node.parent is not None:
+        node = node.parent
+        path.add(node)
+    # of each node, parents first: the subtree beside the path that holds it, and the outermost article (else main part)
+    beside, marked = {}, {}
+    for n in reversed(order):
+        if n not in path:
+            beside[n] = n if n.parent in path and n.parent is not best else beside.get(n.parent)
+        up = marked.get(n.parent)
+        marked[n] = n if n.tag == "article" and (up is None or up.tag == "main") else up or (n if n.tag == "main" else None)
+    reach = {n for n in order if beside.get(n) and n.density >= threshold}
+    sides = {beside[n] for n in reach}
+    largest: dict[Node, Node] = {}
+    for n in order:
+        side = beside.get(n)
+        if side in sides and (side not in largest or (n.total, n.chars) > (largest[side].total, largest[side].chars)):
+            largest[side] = n
+    kept = set()
+    for n in {best, *largest.values(), *reach}:
+        while n.tag not in BLOCK and n not in path and n.parent not in path:
+            n = n.parent
+        kept.add(marked[n] or n)
+    held, out = set(), []
+    for n in reversed(order):
+        if n.parent in held:
+            held.add(n)
+        elif n in kept:
+            held.add(n)
+            out.append(n)
+    at = {n: i for i, n in enumerate(order)}
+    return sorted(out, key=at.__getitem__)
 
 
 def lines(node: Node) -> list[str]:
@@ -242,8 +263,7 @@ def main_text(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    best = chosen(tree(html))
-    return "\n".join(lines(best)) if best is not None else ""
+    return "\n".join(x for node in chosen(tree(html)) for x in lines(node))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -60,6 +60,18 @@ def test_main_text_of_an_article():
     assert html.main_text(page) == "H\nA b.\nC d"
 
 
+def test_main_text_in_several_parts():
+    long = [" ".join(f"{w}{i}" for i in range(40)) for w in ("river", "stone", "winter", "garden")]
+    part = lambda tag, a, b: f"<{tag}><h1>On {a[:5]}</h1><p>{a}</p><p>{b}</p></{tag}>"
+    want = "\n".join(["On river", long[0], long[1], "On winte", long[2], long[3]])
+    teaser = "<article><p>Next one</p></article>"
+    for tag in ("article", "div", "section"):
+        page = f"<body><nav>n</nav>{part(tag, long[0], long[1])}<div><p>Buy now</p></div>{part(tag, long[2], long[3])}{teaser}</body>"
+        assert html.main_text(page) == want
+    # a short article doesn't hide the text outside it
+    assert html.main_text(f"<body>{teaser}{part('div', long[0], long[1])}</body>") == "\n".join(["On river", long[0], long[1]])
+
+
 def test_html_odd_pages(spark):
     assert [html.main_text(x) for x in (None, "", "<", "<p", "<script>x", "<!-- a", "plain &lt; text", "<div class='ad'>x</div>")] == ["", "", "<", "<p", "", "", "plain < text", ""]
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
