@@ -40,6 +40,21 @@ def test_search_recall(spark, block):
     assert len(found) == 50 and hits / 500 >= 0.95
 
 
+@pytest.mark.parametrize("noise", [0.003, 0.02])
+def test_search_in_a_large_group_of_near_copies(spark, noise):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 64))
+    x[::3] = x[0] / np.linalg.norm(x[0])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] += noise * rng.standard_normal((len(x[::3]), 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    hits = sum(len(set(g.values()) & set(nearest(x, q, 10)[0].tolist())) for q, g in got.items())
+    assert len(got) == 80 and hits == 800
+
+
 def test_query_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
