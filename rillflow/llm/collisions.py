@@ -3,8 +3,9 @@
 Vectors of one label link at cosine ``COSINE`` or more. Unit vectors are projected on ``PROJECTIONS`` random lines. On each
 line a pair collides if the one lies in the window of half-width ``WINDOW`` times the greatest linked distance around the
 other; a pair at exactly ``COSINE`` collides on a line with a known chance, so the count of its collisions is binomial,
-and pairs whose count reaches the greatest number that such pairs reach with chance ``RECALL`` are verified by their exact
-cosine in double precision. Closer pairs collide more, so ``RECALL`` holds for every linked pair.
+and pairs whose count reaches the greatest number that such pairs reach with the needed chance are verified by their exact
+cosine in double precision. Closer pairs collide more, so the chance holds for every linked pair; it is set by the number of
+pairs in the table, so that all of them together are expected to lose at most ``MISSES`` links.
 
 Scale: equal vectors of a label become one with a multiplicity. Rows are cut by label and by cells of the first line that
 are as wide as the greatest linked distance, so that a link lies in one cell or two neighbours; a cell of more than
@@ -36,6 +37,7 @@ COSINE = 0.93
 PROJECTIONS = 40
 WINDOW = 1.0
 RECALL = 0.9995
+MISSES = 0.001
 BLOCK = 2048
 TILE = 1024
 SEED = 11
@@ -52,13 +54,18 @@ def least_count(lines: int = PROJECTIONS, window: float = WINDOW, recall: float
     return lines
 
 
+def recall_for(rows: int) -> float:
+    """The chance at which all pairs of ``rows`` rows are expected to lose at most ``MISSES`` links; 1 compares all pairs."""
+    return 1 - MISSES / max(1, rows * (rows - 1) // 2)
+
+
 def lines_for(dim: int, lines: int = PROJECTIONS) -> np.ndarray:
     return np.random.default_rng(SEED + dim).standard_normal((lines, dim))
 
 
-def linked(x: np.ndarray, y: np.ndarray, cosine: float, lines: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked(x: np.ndarray, y: np.ndarray, cosine: float, lines: np.ndarray, same: bool, recall: float = RECALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of linked pairs of unit rows; with ``same`` only i < j."""
-    half, least = WINDOW * sqrt(2 - 2 * cosine), least_count(len(lines))
+    half, least = WINDOW * sqrt(2 - 2 * cosine), least_count(len(lines), recall=recall)
     px, py = x @ lines.T, y @ lines.T
     for s in range(0, len(x), TILE):
         for t in range(s if same else 0, len(y), TILE):
@@ -72,7 +79,8 @@ def linked(x: np.ndarray, y: np.ndarray, cosine: float, lines: np.ndarray, same:
                 lo = np.searchsorted(line, a[:, m] - half, "left").astype(np.int16)
                 hi = np.searchsorted(line, a[:, m] + half, "right").astype(np.int16)
                 count += ((rank[None, :] - lo[:, None]).view(np.uint16) < (hi - lo).view(np.uint16)[:, None]).view(np.uint8)
-            i, j = np.nonzero(count >= least)
+            # with a low count many pairs are left: the tile's product drops those well below the limit at once
+            i, j = np.nonzero((count >= least) & (x[s : s + TILE] @ y[t : t + TILE].T >= cosine - 1e-9))
             i, j = i + s, j + t
             if same:
                 i, j = i[i < j], j[i < j]
@@ -105,6 +113,8 @@ def _tasks(rows: DataFrame, block: int) -> DataFrame:
 def links(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """(node, links, root) of linked rows of (label, v, rep, n), from each task: links counts multiplicities."""
 
+    recall = recall_for(distinct.count())
+
     def run(table: pa.Table) -> pa.Table:
         rep, n, v = table.column("rep").to_numpy(), table.column("n").to_numpy(), matrix(table.column("v").combine_chunks())
         c, i, d, j = (table.column(k)[0].as_py() for k in "cidj")
@@ -113,7 +123,7 @@ def links(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Da
         left = np.ones(len(rep), bool) if inner else table.column("part").to_numpy() == i if c == d else ~table.column("right").to_numpy(zero_copy_only=False)
         a, b = np.flatnonzero(left), np.flatnonzero(left if inner else ~left)
         total, us, vs = np.zeros(len(rep), np.int64), [], []
-        for x, y in linked(v[a], v[b], cosine, lines, inner):
+        for x, y in linked(v[a], v[b], cosine, lines, inner, recall):
             x, y = a[x], b[y]
             np.add.at(total, x, n[y])
             np.add.at(total, y, n[x])

@@ -95,5 +95,23 @@ def test_links_against_all_pairs(spark, block):
     assert sum(got[k]["component_id"] == groups[k] for k in range(800)) >= 792
 
 
+def test_every_link_at_the_limit(spark):
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centers = unit(rng.standard_normal((20, 64)))
+    near = np.repeat(centers, 800, axis=0)
+    aside = rng.standard_normal(near.shape)
+    aside = unit(aside - (aside * near).sum(1, keepdims=True) * near)
+    cosine = collisions.COSINE + 1e-4
+    x = unit(np.concatenate([centers, cosine * near + np.sqrt(1 - cosine**2) * aside]))
+    links = np.zeros(len(x), np.int64)
+    for s in range(0, len(x), 1000):
+        links[s : s + 1000] = (x[s : s + 1000] @ x.T >= collisions.COSINE).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in collisions.near_duplicates(df).collect()}
+    assert all(links[:20] >= 800) and [got[i][0] for i in range(len(x))] == links.tolist()
+    assert all(got[i][1] == min((i - 20) // 800, got[(i - 20) // 800][1]) for i in range(20, len(x)))
+
+
 def test_calibrated_count():
     assert collisions.least_count(recall=0.999) <= collisions.least_count(recall=0.9) < collisions.PROJECTIONS
