@@ -14,8 +14,10 @@ linear in the triples' weights, the trained model folds into one table of a weig
 lookup for each triple of its characters: whole texts, in numpy, with no loop over words. A document's value is that of
 its worst span, turned into a probability by a logistic fit on the training documents.
 
-Bounds: at most ``SAMPLE`` toxic and ``SAMPLE`` clean labelled rows are learnt from, chosen by crc32 order. Nothing else
-is bounded. Only text is scored.
+Bounds: at most ``SAMPLE`` toxic and ``SAMPLE`` clean labelled rows are learnt from, chosen by crc32 order. The first
+landmarks are the ``LANDMARKS // 2`` toxic words of greatest excess and the ``LANDMARKS // 4`` commonest clean ones, of 3 to 24
+letters; those added later are clean spans, at most ``LANDMARKS // 4`` in each of two rounds. Toxic words beyond these count
+only by the triples that they share with landmarks. Spans learnt from are cut to 64 characters. Only text is scored.
 
 Defined results: null and empty texts have no span and get the score of the logistic fit's floor; without labels of both
 kinds every score is the share of toxic labels (0 if none); rows without doc_id are scored and are not held out; repeated
