@@ -167,8 +167,8 @@ def replay_baseline(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     start = sc.centroid(v, DIM).first()["mu"]
     delta = sc.threshold(sc.scored(v, sc.centroid(v, DIM))).first()["delta"]
-    steps = bl.replay(v.select(F.col("vec_id").alias("at"), "v"), start, delta, 100, alpha=0.9, ratio=0.97)
-    return spark.createDataFrame([x[:5] for x in steps], "step long, flows long, anomalies long, used long, drift double")
+    steps = bl.replay_versions(v.select(F.col("vec_id").alias("at"), "v"), start, delta, 100, alpha=0.9, ratio=0.97)
+    return steps.drop("mu")
 
 
 def _quiet(spark, sf_dir):

@@ -45,6 +45,25 @@ def test_replay_against_numpy(spark):
         assert np.allclose(step[5], mu)
 
 
+def test_replay_by_spans(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, row.tolist()) for i, row in enumerate(rng.standard_normal((120, 3)) * 0.3)] + [(None, [0.0] * 3), (-5, [0.1] * 3), (7, None), (7, [0.1]), (7, [0.1, None, 0.1])]
+    df = spark.createDataFrame(rows, "at long, v array<double>")
+    by_one, by_four = ([tuple(r) for r in bl.replay_versions(df, [0.0] * 3, 0.8, 10, alpha=0.9, span=n).orderBy("step").collect()] for n in (1, 4))
+    assert by_one == by_four == bl.replay(df, [0.0] * 3, 0.8, 10, alpha=0.9)
+    assert [r[:2] for r in by_four] == [(-1, 1), (0, 13)] + [(k, 10) for k in range(1, 12)]
+
+
+def test_a_replay_job_serves_many_windows(spark):
+    df = spark.createDataFrame([(i, [0.1, 0.2]) for i in range(90)], "at long, v array<double>")
+    spark.sparkContext.setJobGroup("replay", "")
+    try:
+        assert len(bl.replay(df, [0.0, 0.0], 1.0, 1)) == 90
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("replay")) < 30
+
+
 def test_baseline_table_problems(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         bl.load_baseline(spark, str(tmp_path / "none"), 3)
