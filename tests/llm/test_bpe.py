@@ -36,11 +36,33 @@ def test_random_texts_and_offsets(reference):
         assert list(coder.char_offsets(text, ids)[0]) == reference.decode_with_offsets(ids)[1]
 
 
-def test_a_full_table_of_known_pieces_is_emptied(monkeypatch, reference):
+def test_a_full_table_of_known_pieces_is_renewed(monkeypatch, reference):
     monkeypatch.setattr(bpe, "MEMORY", 3)
     coder = bpe.ByteBPE(P.path(bpe.RANKS), P.PATTERN)
-    for text in ("one two three four five", "six seven", "one six"):
+    for text in ("one two three four five", "six seven", "one six", "x" * 500, "one six two three", "x" * 500):
         assert coder.encode([text])[0] == reference.encode_ordinary(text)
+        assert len(coder.known) <= 3 + 5 and all(len(p) <= bpe.LONG_PIECE for p in coder.older)
+
+
+def test_every_code_point_is_of_the_class_that_the_reference_has_it_in(reference):
+    coder = bpe.coder(P.path(bpe.RANKS), P.PATTERN)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["\n".join(f"a{chr(c)}'s  {chr(c)}b" for c in points[i : i + 2000]) for i in range(0, len(points), 2000)]
+    for i in range(0, len(texts), 20):
+        assert coder.encode(texts[i : i + 20]) == [reference.encode_ordinary(t) for t in texts[i : i + 20]]
+
+
+def test_outputs_of_one_pass_and_clashing_names(spark):
+    rows = [(1, "née 🙂 x", "kept"), (1, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, decoded__ string")
+    names = ["ids__", "n_tokens__", "decoded_sha256__", "ids_sha256__"]
+    got = bpe.transcode(docs, [*names, "starts__"]).collect()
+    for row, (_, text, kept) in zip(got, rows, strict=True):
+        assert row["decoded__"] == kept and row["n_tokens__"] == len(row["ids__"]) == len(row["starts__"])
+        assert row["decoded_sha256__"] == hashlib.sha256((text or "").encode()).hexdigest()
+        assert row["ids_sha256__"] == hashlib.sha256(",".join(map(str, row["ids__"])).encode()).hexdigest()
+    again = bpe.transcode(docs, ["decoded__"])
+    assert again.columns == ["doc_id", "text", "decoded__", "decoded__"] and bytes(again.collect()[0][3]).decode() == "née 🙂 x"
 
 
 def test_odd_rows(spark):
