@@ -35,7 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    coded = bpe.transcode(docs.select("doc_id", "lang", "source", "text"), ["ids__", "decoded__"])
     same = F.col("decoded__") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", F.size("ids__").cast("long").alias("n_tokens"), same.alias("round_trip"), F.col("ids__").alias("ids"))
 
