@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 19
 _BLANK = np.zeros(256, bool)
@@ -25,7 +26,8 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         text = text.combine_chunks()
     if not len(text):
         return
-    at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    width = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    at = np.frombuffer(text.buffers()[1], width)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] else np.zeros(0, np.uint8)
     first = 0
     while first < len(text):
@@ -74,11 +76,28 @@ def _spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_LONG_WORD = 64
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return _spans_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, _BASES[0])
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight at a time through the finalizer, long words by XXH64.
+
+    ``which`` chooses one of two hashes that don't depend on each other.
+    """
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    size = ends - starts
+    key = np.uint64(_BASES[which])
+    out = mixed(size.astype(np.uint64) + key)
+    todo = np.flatnonzero(size <= _LONG_WORD)
+    at, left = starts[todo], size[todo]
+    while len(todo):
+        part = eights[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * np.maximum(8 - left, 0)).astype(np.uint64))
+        out[todo] = mixed((out[todo] ^ part) + key)
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]], which)
+    return out
 
 
 def gram_hashes(words: np.ndarray, doc: np.ndarray, n: int, which: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +107,12 @@ def gram_hashes(words: np.ndarray, doc: np.ndarray, n: int, which: int = 1) -> t
     return _spans_hash(words, at, at + n, _BASES[which]), doc[:count] == doc[n - 1 : n - 1 + count]
 
 
-def sequence_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, which: int = 1) -> np.ndarray:
-    """Hash of each document's whole word sequence."""
-    edge = np.searchsorted(doc, np.arange(n_docs + 1))
-    return _spans_hash(words, edge[:-1], edge[1:], _BASES[which])
+def sequence_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each document's whole word sequence."""
+    edge = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
+    digests = b"".join(xxhash.xxh3_128_digest(words[s:e]) for s, e in zip(edge, edge[1:], strict=False))
+    both = np.frombuffer(digests, np.uint64).reshape(n_docs, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def winnowed(grams: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
