@@ -14,23 +14,32 @@ def bucket(us: Column, width: int) -> Column:
 
 
 def throughput(packets: DataFrame, flows: DataFrame, width: int = 1_000_000) -> DataFrame:
-    """(bucket_us, packets, flows): packets by their time, flows by their close."""
-    p = packets.groupBy(bucket(F.col("ts_us"), width).alias("bucket_us")).agg(F.count("*").alias("packets"), F.lit(0).cast("long").alias("flows"), F.lit(0).cast("long").alias("anomalies"))
-    anomaly = F.count_if("is_anomaly") if "is_anomaly" in flows.columns else F.lit(0)
-    f = flows.groupBy(bucket(F.col("end_us"), width).alias("bucket_us")).agg(F.lit(0).cast("long").alias("packets"), F.count("*").alias("flows"), anomaly.cast("long").alias("anomalies"))
-    return p.unionByName(f).groupBy("bucket_us").agg(*[F.sum(c).alias(c) for c in ("packets", "flows", "anomalies")])
+    """(bucket_us, packets, opened, flows, anomalies): packets by their time, flows by their opening and by their close."""
+    anomaly = F.count_if("is_anomaly") if "is_anomaly" in flows.columns else F.lit(0).cast("long")
+    parts = [
+        (packets, "ts_us", {"packets": F.count("*")}),
+        (flows, "start_us", {"opened": F.count("*")}),
+        (flows, "close_us", {"flows": F.count("*"), "anomalies": anomaly}),
+    ]
+    names = ("packets", "opened", "flows", "anomalies")
+    each = [rows.groupBy(bucket(F.col(at), width).alias("bucket_us")).agg(*[got.get(n, F.lit(0).cast("long")).alias(n) for n in names]) for rows, at, got in parts]
+    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("bucket_us").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def summary(packets: DataFrame, flows: DataFrame, width: int = MINUTE) -> DataFrame:
+    """Each window's packets, flows closed in it, anomalies among them, rates, and the flows open at its end."""
     seconds = width / 1e6
-    return throughput(packets, flows, width).select(
+    per = throughput(packets, flows, width).withColumn("change", F.col("opened") - F.col("flows"))
+    return cumulative(per, "change").select(
         F.col("bucket_us").alias("window_start_us"),
+        (F.col("bucket_us") + width).alias("window_end_us"),
         F.col("packets").alias("packets_total"),
         F.col("flows").alias("flows_closed"),
         (F.col("packets") / seconds).alias("packets_per_sec"),
         (F.col("flows") / seconds).alias("flows_per_sec"),
         F.col("anomalies").alias("anomaly_count"),
         (F.col("anomalies") / F.greatest("flows", F.lit(1))).alias("anomaly_rate"),
+        F.col("total_change").alias("active_flows"),
     )
 
 
@@ -46,11 +55,10 @@ def cumulative(per_bucket: DataFrame, *columns: str) -> DataFrame:
     return joined.select(*per_bucket.columns, *[(F.col(f"before__{c}") + F.sum(c).over(inside)).alias(f"total_{c}") for c in columns])
 
 
-def active_flows(flows: DataFrame, timeout_us: int, width: int = MINUTE) -> DataFrame:
-    """Flows open at each bucket's end: opened at the first packet, closed at the last or, when idle or last, its timeout."""
-    close = F.when(F.col("reason").isin("fin_rst", "cap"), F.col("end_us")).otherwise(F.col("end_us") + timeout_us)
+def active_flows(flows: DataFrame, width: int = MINUTE) -> DataFrame:
+    """Flows open at each bucket's end: opened at the first packet, closed at close_us."""
     opens = flows.select(bucket(F.col("start_us"), width).alias("bucket_us"), F.lit(1).alias("change"))
-    closes = flows.select(bucket(close, width).alias("bucket_us"), F.lit(-1).alias("change"))
+    closes = flows.select(bucket(F.col("close_us"), width).alias("bucket_us"), F.lit(-1).alias("change"))
     per = opens.unionByName(closes).groupBy("bucket_us").agg(F.sum("change").alias("change"))
     return cumulative(per, "change").select("bucket_us", F.col("total_change").alias("active"))
 

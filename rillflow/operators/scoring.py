@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.vectors import l2_normalized, mean_by_position, squared_distance
 from rillflow.schema import FEATURES
+from rillflow.sources.scratch import written
 
 
 def fit_scaler(flows: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
@@ -70,8 +71,12 @@ def score_as_of(vectors: DataFrame, versions: DataFrame, time: str = "at") -> Da
     return vectors.join(versions, within).withColumn("score", squared_distance(F.col("v"), F.col("mu"))).drop("mu")
 
 
-def predict(flows: DataFrame, p: float = 0.95, kappa: float = 1.0) -> DataFrame:
-    """The whole chain with the identity encoder, fitted on the flows themselves: v, score, delta, is_anomaly."""
-    vectors = embedded(flows, fit_scaler(flows))
-    scores = scored(vectors, centroid(vectors, len(FEATURES)))
-    return classified(scores, threshold(scores, p), kappa)
+def predict(flows: DataFrame, p: float = 0.95, kappa: float = 1.0, exact: bool = True) -> DataFrame:
+    """The whole chain with the identity encoder, fitted on the flows themselves: v, score, delta, is_anomaly.
+
+    The fits (a row each) and the scored flows are written as they are made, so that flows are read once for each of them
+    and none is computed again by what follows. With ``exact`` false the threshold takes bounded memory at any size.
+    """
+    vectors = embedded(flows, written(fit_scaler(flows), "scaler"))
+    scores = written(scored(vectors, written(centroid(vectors, len(FEATURES)), "centroid")), "scores")
+    return classified(scores, threshold(scores, p, exact), kappa)

@@ -54,8 +54,9 @@ def normalize_flow_key(spark, sf_dir):
 
 
 def packet_direction(spark, sf_dir):
-    lo = fl.keyed(_packets(spark, sf_dir)).select("pkt_seq", F.col("is_fwd").cast("int").alias("lo_mode"))
-    return lo.withColumn("all_forward_mode", F.lit(1))
+    """The direction of each packet in both modes, the second one on the first one's rows."""
+    lo = fl.keyed(_packets(spark, sf_dir)).withColumn("lo_mode", F.col("is_fwd").cast("int")).drop("is_fwd", *fl.KEY[:4])
+    return fl.keyed(lo, "all_forward").select("pkt_seq", "lo_mode", F.col("is_fwd").cast("int").alias("all_forward_mode"))
 
 
 def flow_id_query(spark, sf_dir):
@@ -75,6 +76,11 @@ def sessionize_flows(spark, sf_dir):
     return _sessions(spark, sf_dir).select("pkt_seq", *fl.FLOW)
 
 
+def sessionize_flows_sliced(spark, sf_dir):
+    """The same flows, found in slices of ten minutes of each pair."""
+    return fl.sessions_by_slices(fl.keyed(_packets(spark, sf_dir)), 600_000_000).select("pkt_seq", *fl.FLOW)
+
+
 def flows_idle_timeout(spark, sf_dir):
     """The idle rule alone, by session windows; a gap of exactly the timeout stays inside."""
     rows = fl.keyed(_packets(spark, sf_dir)).withColumn("ts", F.timestamp_micros("ts_us"))
@@ -85,7 +91,8 @@ def flows_idle_timeout(spark, sf_dir):
 
 
 def flows_packet_cap(spark, sf_dir):
-    return _sessions(spark, sf_dir, max_packets=4).groupBy(*fl.FLOW).agg(F.count("*").alias("packets"), F.min("pkt_seq").alias("first_seq"))
+    """The cap of four packets, and why and when each flow was closed under it."""
+    return _flows(spark, sf_dir, max_packets=4, min_packets=1).select(*fl.FLOW, F.col("packet_count").cast("long").alias("packets"), "start_us", "reason", "close_us")
 
 
 def packet_iat(spark, sf_dir):
@@ -151,6 +158,7 @@ QUERIES = {
     "flow_id": flow_id_query,
     "parse_flow_id": parse_flow_id,
     "sessionize_flows": sessionize_flows,
+    "sessionize_flows_sliced": sessionize_flows_sliced,
     "flows_idle_timeout": flows_idle_timeout,
     "flows_packet_cap": flows_packet_cap,
     "packet_iat": packet_iat,
@@ -173,8 +181,9 @@ SQL = {
     "flow_id": f"{s.KEYED} select {_ID} as flow_id, count(*) as packets from keyed group by 1",
     "parse_flow_id": f"{s.KEYED} select pkt_seq, hi_ip, case when pkt_seq % 9 = 0 then '?' else hi_port::varchar end as hi_port from keyed",
     "sessionize_flows": f"{s.SESSIONS} select pkt_seq, {KEY_SQL}, seg, chunk from sess",
+    "sessionize_flows_sliced": f"{s.SESSIONS} select pkt_seq, {KEY_SQL}, seg, chunk from sess",
     "flows_idle_timeout": f"{s.KEYED}, g as (select *, case when ts_us - lag(ts_us) over (partition by {KEY_SQL} order by ts_us, pkt_seq) <= 60000000 then 0 else 1 end as opens from keyed), n as (select *, sum(opens) over (partition by {KEY_SQL} order by ts_us, pkt_seq rows unbounded preceding) as part from g) select {KEY_SQL}, count(*) as packets, min(ts_us) as start_us, max(ts_us) as end_us from n group by {KEY_SQL}, part",
-    "flows_packet_cap": f"{s.sessions(cap=4)} select {KEY_SQL}, seg, chunk, count(*) as packets, min(pkt_seq) as first_seq from sess group by {KEY_SQL}, seg, chunk",
+    "flows_packet_cap": f"{s.flows(cap=4)} select {KEY_SQL}, seg, chunk, packet_count::bigint as packets, start_us, reason, {s.CLOSE} as close_us from every_flow",
     "packet_iat": f"{s.SESSIONS} select pkt_seq, gap_us, ts_us - lag(ts_us) over (partition by {KEY_SQL}, seg, chunk, is_fwd order by ts_us, pkt_seq) as side_gap_us from sess",
     "extract_features": _flow_sql("start_us", "end_us", "reason", *FEATURES),
     "min_packets_filter": f"{s.FLOWS} select flow_id, seg, chunk, packet_count from flows where packet_count >= 3",

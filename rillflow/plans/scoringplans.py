@@ -13,7 +13,7 @@ from rillflow.operators import flows as fl
 from rillflow.operators import scoring as sc
 from rillflow.plans import sqltext as s
 from rillflow.functions.packets import rounded
-from rillflow.schema import FEATURES
+from rillflow.schema import AUDIT, FEATURES, SUMMARY
 from rillflow.sources import packets as src
 from rillflow.sources.scratch import scratch_path
 
@@ -72,11 +72,11 @@ def baseline_audit(spark, sf_dir):
     rows = bl.with_drift(_versions(spark, sf_dir))
     path = scratch_path(spark, "audit")
     rows.select(F.col("version").alias("update_id"), "valid_from", F.col("n_used").alias("n_flows_used"), rounded(F.col("drift"), 6).alias("drift"), F.lit(0.99).alias("alpha")).write.mode("append").json(path)
-    return spark.read.schema("update_id long, valid_from long, n_flows_used long, drift double, alpha double").json(path)
+    return spark.read.schema(AUDIT).json(path)
 
 
 def update_audit_stats(spark, sf_dir):
-    return baseline_audit(spark, sf_dir).agg(F.count("*").alias("updates"), F.sum("n_flows_used").alias("flows"), F.min("drift").alias("least_drift"), F.max("drift").alias("most_drift"), F.avg("drift").alias("mean_drift"))
+    return baseline_audit(spark, sf_dir).agg(F.count("*").alias("updates"), F.sum("n_flows_used").alias("flows"), F.min("drift").alias("least_drift"), F.max("drift").alias("most_drift"), rounded(F.avg("drift"), 6).alias("mean_drift"))
 
 
 def score_asof_baseline(spark, sf_dir):
@@ -254,7 +254,7 @@ def summary_60s(spark, sf_dir):
 def write_summary(spark, sf_dir):
     path = scratch_path(spark, "summary")
     dc.write_summary(summary_60s(spark, sf_dir), path)
-    return spark.read.schema("window_start_us long, packets_total long, flows_closed long, packets_per_sec double, flows_per_sec double, anomaly_count long, anomaly_rate double").json(path)
+    return spark.read.schema(SUMMARY).json(path)
 
 
 def throughput_1s(spark, sf_dir):
@@ -262,17 +262,17 @@ def throughput_1s(spark, sf_dir):
 
 
 def anomaly_rate_cumulative(spark, sf_dir):
-    per = rollups.throughput(_packets(spark, sf_dir), _predicted(spark, sf_dir), rollups.MINUTE).drop("packets")
+    per = rollups.throughput(_packets(spark, sf_dir), _predicted(spark, sf_dir), rollups.MINUTE).drop("packets", "opened")
     got = rollups.cumulative(per, "flows", "anomalies")
     return got.select("bucket_us", "total_flows", "total_anomalies", rounded(F.col("total_anomalies") / F.greatest("total_flows", F.lit(1)), 6).alias("rate"))
 
 
 def active_flows(spark, sf_dir):
-    return rollups.active_flows(_flows(spark, sf_dir), fl.TIMEOUT_US)
+    return rollups.active_flows(_flows(spark, sf_dir))
 
 
 def snapshot_deltas(spark, sf_dir):
-    per = rollups.throughput(_packets(spark, sf_dir), _flows(spark, sf_dir), rollups.MINUTE).drop("anomalies")
+    per = rollups.throughput(_packets(spark, sf_dir), _flows(spark, sf_dir), rollups.MINUTE).drop("anomalies", "opened")
     got = rollups.cumulative(per, "packets", "flows")
     return got.select("bucket_us", "total_packets", "total_flows", (F.col("total_packets") - F.col("packets")).alias("packets_before"), (F.col("total_flows") - F.col("flows")).alias("flows_before"))
 
@@ -325,11 +325,12 @@ _PER = """{base}, per as (select bucket_us, sum(packets)::bigint as packets, sum
 
 
 def _per(width: int, scored: bool) -> str:
-    return _PER.format(base=s.SCORED if scored else s.FLOWS, p=_BUCKET.format(c="ts_us", w=width), f=_BUCKET.format(c="end_us", w=width), a="is_anomaly::int" if scored else "0", t="scored" if scored else "flows")
+    return _PER.format(base=s.SCORED if scored else s.FLOWS, p=_BUCKET.format(c="ts_us", w=width), f=_BUCKET.format(c=s.CLOSE, w=width), a="is_anomaly::int" if scored else "0", t="scored" if scored else "flows")
 
 
-_SUMMARY = f"""{_per(60_000_000, True)} select bucket_us as window_start_us, packets as packets_total, flows as flows_closed, {s.rnd('packets / 60.0', 6)} as packets_per_sec, {s.rnd('flows / 60.0', 6)} as flows_per_sec, anomalies as anomaly_count,
-  {s.rnd('anomalies::double / greatest(flows, 1)', 6)} as anomaly_rate from per"""
+_SUMMARY = f"""{_per(60_000_000, True)}, opens as (select {_BUCKET.format(c='start_us', w=60_000_000)} as bucket_us, count(*) as opened from flows group by 1)
+select bucket_us as window_start_us, bucket_us + 60000000 as window_end_us, (sum(coalesce(opened, 0) - flows) over (order by bucket_us rows unbounded preceding))::bigint as active_flows, packets as packets_total, flows as flows_closed, {s.rnd('packets / 60.0', 6)} as packets_per_sec, {s.rnd('flows / 60.0', 6)} as flows_per_sec, anomalies as anomaly_count,
+  {s.rnd('anomalies::double / greatest(flows, 1)', 6)} as anomaly_rate from per left join opens using (bucket_us)"""
 _RECORD = "end_us / 1e6 as ts, flow_id, is_anomaly::int as is_anomaly, packet_count::bigint as packet_count, " + s.rnd("(end_us - start_us) / 1e6") + " as duration_s"
 _LAST = f"select * from scored order by end_us desc, {_NAME} limit 200"
 
@@ -346,6 +347,7 @@ SQL = {
     "baseline_versions": f"{_VERS} select version, n_used, valid_from, valid_to from vers",
     "baseline_drift": f"{_VERS} select version, {s.rnd('drift', 6)} as drift from drifts",
     "baseline_audit": f"{_VERS} select version as update_id, valid_from, n_used as n_flows_used, {s.rnd('drift', 6)} as drift, 0.99::double as alpha from drifts",
+    "update_audit_stats": f"{_VERS}, audit as (select n_used, {s.rnd('drift', 6)} as drift from drifts) select count(*) as updates, sum(n_used)::bigint as flows, min(drift) as least_drift, max(drift) as most_drift, {s.rnd('avg(drift)', 6)} as mean_drift from audit",
     "score_asof_baseline": f"{_VERS} select vec_id, version, {s.rnd(_DIST.format(v='v', mu='mu'), 6)} as score from vecs join vers on vec_id >= valid_from and (valid_to is null or vec_id < valid_to)",
     "load_baseline": f"{_VERS} {_unnested('(select * from vers order by version desc limit 1)', 'mu', 'version')}",
     "centroid": f"{_EMB} {_unnested('center', 'mu', '')}",
@@ -374,7 +376,7 @@ SQL = {
     "write_summary": _SUMMARY,
     "throughput_1s": f"{_per(1_000_000, False)} select bucket_us, packets, flows from per",
     "anomaly_rate_cumulative": f"{_per(60_000_000, True)}, run as (select bucket_us, sum(flows) over w as f, sum(anomalies) over w as a from per window w as (order by bucket_us rows unbounded preceding)) select bucket_us, f::bigint as total_flows, a::bigint as total_anomalies, {s.rnd('a::double / greatest(f, 1)', 6)} as rate from run",
-    "active_flows": f"{s.FLOWS}, ch as (select {_BUCKET.format(c='start_us', w=60_000_000)} as b, 1 as c from flows union all select {_BUCKET.format(c='''(case when reason in ('fin_rst', 'cap') then end_us else end_us + 60000000 end)''', w=60_000_000)}, -1 from flows), per as (select b, sum(c) as c from ch group by b) select b as bucket_us, (sum(c) over (order by b rows unbounded preceding))::bigint as active from per",
+    "active_flows": f"{s.FLOWS}, ch as (select {_BUCKET.format(c='start_us', w=60_000_000)} as b, 1 as c from flows union all select {_BUCKET.format(c=s.CLOSE, w=60_000_000)}, -1 from flows), per as (select b, sum(c) as c from ch group by b) select b as bucket_us, (sum(c) over (order by b rows unbounded preceding))::bigint as active from per",
     "snapshot_deltas": f"{_per(60_000_000, False)}, run as (select *, sum(packets) over w as tp, sum(flows) over w as tf from per window w as (order by bucket_us rows unbounded preceding)) select bucket_us, tp::bigint as total_packets, tf::bigint as total_flows, (coalesce(lag(tp) over (order by bucket_us), 0))::bigint as packets_before, (coalesce(lag(tf) over (order by bucket_us), 0))::bigint as flows_before from run",
     "recent_scores": f"{s.SCORED} select end_us, proto, {_NAME}, is_anomaly::int as is_anomaly from ({_LAST})",
     "explode_state": f"{s.SCORED} select row_number() over (order by end_us desc, {_NAME}) - 1 as pos, {s.rnd('score')} as score, is_anomaly::int as is_anomaly, end_us::varchar as at from ({_LAST})",

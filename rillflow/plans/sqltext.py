@@ -74,6 +74,7 @@ flows as (select * from every_flow where packet_count >= 2)"""
 
 
 FLOWS = flows()
+CLOSE = "(case when reason in ('fin_rst', 'cap') then end_us else end_us + 60000000 end)"
 
 
 def rnd(x: str, digits: int = 4) -> str:

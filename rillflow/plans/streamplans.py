@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.functions.packets import rounded
@@ -12,18 +12,36 @@ from rillflow.operators import scoring as sc
 from rillflow.plans.scoringplans import DIM, _flows, _predicted, _vectors
 from rillflow.schema import FEATURES
 from rillflow.sources import packets as src
-from rillflow.sources.scratch import scratch_path
+from rillflow.sources.scratch import scratch_path, written
 from rillflow.streaming import jobs
-from rillflow.streaming.tracker import track
+from rillflow.streaming.tracker import flows_of, track
 
 FAR = 86_400_000_000
 
 
+SPANS, FILES = 3, 2
+
+
+def _in_order(rows: DataFrame, at: str, path: str) -> None:
+    """Write rows by spans of time, one after the other and each in ``FILES`` files, as a live source would.
+
+    The stream takes its files in the order in which they were written, so a trigger of ``FILES`` files is a span.
+    """
+    ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    if ends["lo"] is None:
+        rows.write.parquet(path)
+        return
+    step = (ends["hi"] - ends["lo"]) // SPANS + 1
+    for i in range(SPANS):
+        span = rows.where((F.col(at) >= ends["lo"] + i * step) & (F.col(at) < ends["lo"] + (i + 1) * step))
+        span.repartition(FILES).write.mode("append").parquet(path)
+
+
 def _folder(spark: SparkSession, sf_dir: str) -> str:
     """The packets as a folder of files, and a last packet a day later that moves the watermark past all others."""
     path = scratch_path(spark, "packet-stream")
     packets = src.packets_from_events(spark, sf_dir)
-    src.with_timestamp(packets).write.parquet(path)
+    _in_order(src.with_timestamp(packets).withColumn("us__", F.unix_micros("ts")), "us__", path)
     last = packets.agg(F.max("ts_us").alias("ts_us"), F.max("pkt_seq").alias("pkt_seq")).where("ts_us is not null")
     end = last.select((F.col("pkt_seq") + 1).alias("pkt_seq"), (F.col("ts_us") + FAR).alias("ts_us"), F.lit("0.0.0.0").alias("src_ip"), F.lit("0.0.0.0").alias("dst_ip"), *[F.lit(0).alias(c) for c in ("src_port", "dst_port", "proto", "pkt_len", "header_len")], F.lit("").alias("flags"))
     src.with_timestamp(end).coalesce(1).write.mode("append").parquet(path)
@@ -31,7 +49,7 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _stream(spark, sf_dir):
-    return src.read_stream(spark, _folder(spark, sf_dir), late="1 hour", files_per_trigger=1000)
+    return src.read_stream(spark, _folder(spark, sf_dir), late="1 hour", files_per_trigger=FILES)
 
 
 def stream_packets(spark, sf_dir):
@@ -44,7 +62,7 @@ def stream_flows(spark, sf_dir):
     jobs.use_rocksdb(spark)
     path = scratch_path(spark, "stream")
     jobs.to_files(track(_stream(spark, sf_dir)), path)
-    got = spark.read.parquet(path).where("proto > 0").withColumn("flow_id", F.concat_ws("-", *fl.KEY))
+    got = flows_of(spark.read.parquet(path)).where("proto > 0").withColumn("flow_id", F.concat_ws("-", *fl.KEY))
     return got.select("flow_id", "start_us", "end_us", *FEATURES)
 
 
@@ -55,16 +73,26 @@ def stream_session_flows(spark, sf_dir):
 
 
 def stream_summary(spark, sf_dir):
+    """Two streams by minute: packets by their time, and scored flows by the time at which they were closed."""
     path = scratch_path(spark, "stream")
     jobs.to_files(jobs.summaries(_stream(spark, sf_dir)), path)
-    return spark.read.parquet(path).where("bytes > 0")
+    packets = spark.read.parquet(path).where("bytes > 0")
+    flows = _predicted(spark, sf_dir).select("close_us", "is_anomaly")
+    folder, done = scratch_path(spark, "closed-flows"), scratch_path(spark, "stream")
+    _in_order(flows, "close_us", folder)
+    last = flows.agg(F.max("close_us").alias("close_us")).where("close_us is not null").select((F.col("close_us") + FAR).alias("close_us"), F.lit(None).cast("boolean").alias("is_anomaly"))
+    last.coalesce(1).write.mode("append").parquet(folder)
+    closed = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+    jobs.to_files(jobs.closed_flows(closed), done)
+    both = packets.join(spark.read.parquet(done), "window_start_us", "full")
+    return both.select("window_start_us", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("packets", "bytes", "flows", "anomalies")])
 
 
 def _score_stream(spark: SparkSession, sf_dir: str) -> str:
     flows = _flows(spark, sf_dir)
-    scaler = sc.fit_scaler(flows)
+    scaler = written(sc.fit_scaler(flows), "scaler")
     vectors = sc.embedded(flows, scaler)
-    mu = sc.centroid(vectors, len(FEATURES))
+    mu = written(sc.centroid(vectors, len(FEATURES)), "centroid")
     base = scratch_path(spark, "base")
     mu.crossJoin(F.broadcast(sc.threshold(sc.scored(vectors, mu)))).write.parquet(base)
     folder = scratch_path(spark, "flow-stream")
@@ -116,7 +144,7 @@ def _sql() -> dict[str, str]:
         "stream_packets": packetplans.SQL["read_packets"],
         "stream_flows": f"{s.FLOWS} select flow_id, start_us, end_us, {', '.join(FEATURES)} from flows",
         "stream_session_flows": packetplans.SQL["flows_idle_timeout"],
-        "stream_summary": f"{s.PACKETS} select (ts_us // 60000000 * 60000000)::bigint as window_start_us, count(*) as packets, sum(pkt_len)::bigint as bytes from packets group by 1",
+        "stream_summary": f"{s.SCORED}, p as (select (ts_us // 60000000 * 60000000)::bigint as window_start_us, count(*) as packets, sum(pkt_len)::bigint as bytes from packets group by 1), f as (select ({s.CLOSE} // 60000000 * 60000000)::bigint as window_start_us, count(*) as flows, count(*) filter (where is_anomaly) as anomalies from scored group by 1) select window_start_us, coalesce(packets, 0) as packets, coalesce(bytes, 0) as bytes, coalesce(flows, 0) as flows, coalesce(anomalies, 0) as anomalies from p full join f using (window_start_us)",
         "stream_scores": scoringplans.SQL["predict_batch"],
         "stream_alerts": f"{s.SCORED} select flow_id, hi_ip, hi_port::varchar as hi_port, {s.rnd(s.rnd('score', 6))} as score from scored where is_anomaly",
     }

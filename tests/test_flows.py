@@ -8,7 +8,7 @@ from rillflow.operators import flows as fl
 from rillflow.schema import FEATURES
 from rillflow.sources import packets as src
 
-#: Hand-computed cases: rows of (seconds, size, forward, flags, header), and the features in their order.
+#: Fixed values that results must equal: rows of (seconds, size, forward, flags, header), and their features in order.
 GOLDEN = [
     ([(0.0, 100, True, "S", 20), (1.0, 200, True, "A", 20)], [1.0, 2, 300, 2, 0, 300, 0, 150, 150, 0, 1.0, 0, 1.0, 0, 40, 0, 1, 0, 0, 1]),
     (
@@ -100,3 +100,38 @@ def test_one_shuffle_from_packets_to_features(spark):
 
 def test_no_packets(spark):
     assert fl.extract(spark.createDataFrame([], PACKET)).count() == 0
+
+
+def test_reason_and_closing_time_follow_the_given_rules(spark):
+    rows = [(i, i * 1_000_000, "10.0.0.1", "10.0.0.9", 5, 6, 6, 50, 40, "A") for i in range(6)]
+    packets = spark.createDataFrame(rows, PACKET)
+    got = fl.extract(packets, max_packets=4, timeout_us=10_000_000).orderBy("chunk").collect()
+    assert [(r["reason"], r["end_us"], r["close_us"]) for r in got] == [("cap", 3_000_000, 3_000_000), ("end", 5_000_000, 15_000_000)]
+    assert fl.extract(packets).first()["close_us"] == 65_000_000
+
+
+def test_windows_count_flows_at_their_close(spark):
+    from rillflow.operators import rollups
+
+    rows = [(0, 0, "10.0.0.1", "10.0.0.9", 5, 6, 6, 50, 40, "A"), (1, 1_000_000, "10.0.0.1", "10.0.0.9", 5, 6, 6, 50, 40, "A"), (2, 130_000_000, "10.0.0.2", "10.0.0.9", 5, 6, 6, 50, 40, "A"), (3, 131_000_000, "10.0.0.2", "10.0.0.9", 5, 6, 6, 50, 40, "FA")]
+    packets = spark.createDataFrame(rows, PACKET)
+    got = {r["window_start_us"] // 60_000_000: (r["packets_total"], r["flows_closed"], r["active_flows"]) for r in rollups.summary(packets, fl.extract(packets)).collect()}
+    assert got == {0: (2, 0, 1), 1: (0, 1, 0), 2: (2, 1, 0)}
+
+
+@pytest.mark.parametrize("slice_us", [1_000_000, 7_000_000, 3_600_000_000])
+def test_slices_give_the_same_flows(spark, slice_us):
+    import random
+
+    rng = random.Random(slice_us)
+    rows, at = [], 0
+    for i in range(300):
+        at += rng.choice([0, 1, 1, 3, 12]) * 1_000_000
+        rows.append((i, at, f"10.0.0.{rng.randint(1, 3)}", "10.0.0.9", 5, 6, 6, 50, 40, rng.choice(["", "A", "A", "A", "FA"])))
+    keyed = fl.keyed(spark.createDataFrame(rows, PACKET))
+    names = ["pkt_seq", "seg", "chunk", "place", "gap_us", "next_us"]
+    whole, cut = (sorted(map(tuple, d.select(names).collect())) for d in (fl.sessions(keyed, 10_000_000, 7), fl.sessions_by_slices(keyed, slice_us, 10_000_000, 7)))
+    assert whole == cut
+    packets = spark.createDataFrame(rows, PACKET)
+    whole, cut = (sorted(map(tuple, fl.extract(packets, timeout_us=10_000_000, slice_us=s).collect()), key=str) for s in (None, slice_us))
+    assert whole == cut
