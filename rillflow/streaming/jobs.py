@@ -41,6 +41,13 @@ def summaries(packets: DataFrame, width: str = "60 seconds") -> DataFrame:
     return packets.groupBy(F.window("ts", width)).agg(F.count("*").alias("packets"), F.sum("pkt_len").alias("bytes")).select(F.unix_micros("window.start").alias("window_start_us"), "packets", "bytes")
 
 
+def closed_flows(flows: DataFrame, width: str = "60 seconds") -> DataFrame:
+    """Flows and anomalies of each window, by the time of closing: (window_start_us, flows, anomalies), once it is over."""
+    rows = flows.withColumn("closed", F.timestamp_micros("close_us")).withWatermark("closed", "1 hour")
+    got = rows.groupBy(F.window("closed", width)).agg(F.count("*").alias("flows"), F.count_if("is_anomaly").alias("anomalies"))
+    return got.select(F.unix_micros("window.start").alias("window_start_us"), "flows", "anomalies")
+
+
 def score_batches(flows: DataFrame, scaler: DataFrame, base: DataFrame, path: str) -> None:
     """Score each micro-batch of flows against a baseline; decisions and batch metrics are appended under ``path``.
 

@@ -1,7 +1,11 @@
 """The flow tracker on a packet stream: keyed state, closed by FIN or RST, by the cap, and by event-time timers when idle.
 
 State per endpoint pair is the open flow's running sums, so it has the same size however long the flow is. Rows of a key
-are put in order within a trigger; a row that is older than the last one seen, from an earlier trigger, is dropped.
+are put in order within a trigger, so a trigger's rows of one pair are held in memory: the source's files per trigger bound
+them. A row that is older than the last one of its open flow, seen in an earlier trigger, can't be put in its place any
+more: it joins no flow and is counted, in a row of reason ``LATE`` whose packet_count is the number of such rows of a pair in
+a trigger. ``flows_of`` and ``late_rows`` tell the two kinds apart. Rows behind the watermark don't reach the tracker; Spark
+counts those itself (numRowsDroppedByWatermark).
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from rillflow.schema import FEATURES
 
 SUMS = ["first_us", "last_us", "n", "bytes", "nf", "fwd_bytes", "first_f", "last_f", "first_b", "last_b", "header_f", "header_b", "syn", "fin", "rst", "ack", "gaps", "gap_sum", "gap_squares"]
 STATE = ", ".join(f"{c} long" for c in SUMS)
+LATE = "late"
 OUTPUT = "lo_ip string, hi_ip string, lo_port int, hi_port int, proto int, start_us long, end_us long, reason string, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
@@ -89,8 +94,10 @@ class Tracker(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         out: list = []
+        late: list[int] = []
         for us, size, header, fwd, flags in batch[["ts_us", "pkt_len", "header_len", "is_fwd", "flags"]].itertuples(index=False):
             if s and us < s["last_us"]:
+                late.append(int(us))
                 continue
             if s and us - s["last_us"] > self.timeout_us:
                 self._close(key, s, "idle", out)
@@ -105,6 +112,8 @@ class Tracker(StatefulProcessor):
             self.handle.registerTimer(self._due(s))
         else:
             self.flow.clear()
+        if late:
+            out.append([*key, min(late), max(late), LATE, *(float(len(late)) if f == "packet_count" else 0.0 for f in FEATURES)])
         yield from self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -119,6 +128,15 @@ class Tracker(StatefulProcessor):
 
 
 def track(packets: DataFrame, timeout_us: int = TIMEOUT_US, max_packets: int = MAX_PACKETS, min_packets: int = 2) -> DataFrame:
-    """Closed flows of a packet stream that has a watermark on ts. Needs the RocksDB state store."""
+    """Closed flows of a packet stream that has a watermark on ts, and counts of late rows. Needs the RocksDB state store."""
     rows = keyed(packets.withColumn("ts_us", F.unix_micros("ts"))).select(*KEY, "ts", "ts_us", "pkt_seq", "pkt_len", "header_len", "is_fwd", "flags")
     return rows.groupBy(*KEY).transformWithStateInPandas(Tracker(timeout_us, max_packets, min_packets), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+
+
+def flows_of(tracked: DataFrame) -> DataFrame:
+    return tracked.where(F.col("reason") != LATE)
+
+
+def late_rows(tracked: DataFrame) -> DataFrame:
+    """(endpoint pair, rows) of rows that came too late for their flow; a pair has a row for each trigger that had some."""
+    return tracked.where(F.col("reason") == LATE).select(*KEY, F.col("packet_count").cast("long").alias("rows"))
