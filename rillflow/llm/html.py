@@ -8,9 +8,16 @@ of a side that holds such a subtree the node of greatest sum is kept too, so tha
 An article (else a main part) goes first where sums are equal, and is kept whole where some of it is kept; these elements
 never take a subtree out.
 
-Menus, page headers, footers, sidebars, notices, adverts, forms, comments of readers, and what is hidden are cut off before
-(by their elements, roles and class names), as are scripts and styles. All other text of the kept parts stays, in page
-order: one line per block, white space turned into single spaces, character references decoded.
+Menus, page headers, footers, sidebars, forms, dialogs and what is hidden are cut off before by their elements, roles and
+attributes, as are scripts and styles, and adverts, notices and readers' comments by the few class names in ``CUT_NAMES``:
+where a notice is as long as the article (below about 300 characters) no density tells them apart. Elsewhere density alone
+decides. All other text of the kept parts stays, in page order: one line per block, white space turned into single spaces,
+character references decoded.
+
+A page is read in time and memory in proportion to its length, however deep, unclosed or misquoted its tags are: what a
+tag closes is known from stacks of open tags, and after ``MISQUOTED`` tags with unbalanced quotes the rest of the page is
+read without regard to quotes. A ``<`` behind the last ``>`` is text unless
+a comment begins there.
 
 Defined results: null or empty pages, and pages without a text outside the parts that are cut off, give an empty text;
 unclosed and misnested tags close as their elements end; rows are independent, so repeats, ties and empty tables need
@@ -20,6 +27,7 @@ nothing, and a page's memory is its own tree.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -36,34 +44,48 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split()
 )
-#: What a start tag ends: the open elements of the first kind, unless one of the second kind lies between.
-ENDS = {
+#: What a start tag ends: the nearest open element of a group, unless one of the group's walls lies between.
+GROUPS = {
+    "p": ({"p"}, frozenset("table td th caption button body html".split())),
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr"}, {"table"}),
     "td": ({"td", "th"}, {"table", "tr"}),
-    "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
+    "a": ({"a"}, BLOCK),
 }
+ENDS = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option", "a": "a"}
 _P_ENDS = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
-_SCOPE = frozenset("table td th caption button body html".split())
 CUT = frozenset("nav footer aside form button select dialog menu head iframe noscript object embed canvas template svg input".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id names of parts that aren't the article.
-CUT_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside footer foot header masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations more comments comment commentlist respond replies disqus discussion pagination pager toolbar widget hidden skip copyright disclaimer paywall".split()
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
+#: Class and id names, whole or up to their first dash, of adverts, notices and readers' comments.
+CUT_NAMES = frozenset("ad ads advert advertisement advertising sponsored promo cookie cookies consent notice newsletter sidebar breadcrumb breadcrumbs comments commentlist disqus".split())
+MISQUOTED = 50
+_TAG = r"<(/?)([a-zA-Z][^\s/>]*)"
+_QUOTED = re.compile(_TAG + r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN = re.compile(_TAG + r"([^>]*+)>")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*+>", re.DOTALL)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile(r"[a-z]+")
+_RAW_END = {tag: re.compile(f"</{tag}[^>]*+>", re.IGNORECASE | re.ASCII) for tag in RAW}
+
+
+#: The groups that an element opens or walls off.
+_TOUCHED = {tag: [g for g, (kinds, walls) in GROUPS.items() if tag in kinds or tag in walls] for tag in {t for k, w in GROUPS.values() for t in (*k, *w)}}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "depth", "block", "near")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.cut = tag, parent, cut
+        self.depth = parent.depth + 1 if parent else 0
+        #: the depth of the nearest block from here up, and by group the nearest open element within the group's walls
+        self.block = self.depth if tag in BLOCK or not parent else parent.block
+        self.near = parent.near if parent else {}
+        for group in _TOUCHED.get(tag, ()):
+            new = self if tag in GROUPS[group][0] else None
+            if self.near.get(group) is not new:
+                self.near = {**self.near, group: new}
         self.items: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -79,81 +101,80 @@ def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if found.get("role") in CUT_ROLES:
         return True
-    names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-    if tag == "header":
-        return False
-    return not CUT_NAMES.isdisjoint(_NAME.findall(names))
+    names = f"{found.get('class', '')} {found.get('id', '')}".replace("_", "-").split()
+    return tag != "header" and any(n in CUT_NAMES or n.split("-")[0] in CUT_NAMES for n in names)
+
+
+def _tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, "/" of an end tag, tag, attributes) of each tag, and the text behind the last one with no tag."""
+    at, text_from, misquoted, last = 0, 0, 0, html.rfind(">")
+    while True:
+        at = html.find("<", at)
+        if at < 0 or at > last:
+            comment = html.find("<!--", max(at, text_from))
+            yield html[text_from : comment if comment >= 0 else len(html)], "", "", ""
+            return
+        m = _QUOTED.match(html, at) if misquoted < MISQUOTED else None
+        if m is None:
+            m = _PLAIN.match(html, at)
+            misquoted += m is not None
+        if m is None:
+            m = _OTHER.match(html, at)
+            if m is None:
+                at += 1
+                continue
+            yield html[text_from : m.start()], "", "", ""
+            at = text_from = m.end()
+            continue
+        tag = m[2].lower()
+        yield html[text_from : m.start()], m[1], tag, m[3]
+        at = m.end()
+        if tag in RAW and not m[1] and not m[3].endswith("/"):
+            end = _RAW_END[tag].search(html, at)
+            at = end.end() if end else len(html)
+        text_from = at
 
 
 def tree(html: str) -> Node:
     """The page's tree; texts are strings among a node's items."""
     root = Node("html", None)
-    top, at, articles = root, 0, 0
-    lowered = None
-    while True:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
-        if text and not text.isspace():
-            top.items.append(unescape(text))
-        elif text:
-            top.items.append(" ")
-        if not m:
-            return root
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            node = top
-            while node is not root and node.tag != tag:
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = root  # a stray inline end tag doesn't close a block
-                    break
-                node = node.parent
-            if node is not root:
-                while top is not node:
-                    articles -= top.tag == "article"
-                    top = top.parent
-                articles -= top.tag == "article"
-                top = top.parent
-            continue
-        rest = m[3] or m[6] or ""
-        if tag in RAW:
-            if not rest.endswith("/"):
-                lowered = lowered if lowered is not None else html.lower()
-                end = lowered.find(f"</{tag}", at)
-                close = html.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else len(html)
+    top, body = root, None
+    stacks: dict[str, list[Node]] = defaultdict(list)
+
+    def up_to(node: Node) -> None:
+        """Close all open elements below ``node``."""
+        nonlocal top
+        while top is not node:
+            stacks[top.tag].pop()
+            top = top.parent
+
+    for text, end, tag, rest in _tokens(html):
+        if text:
+            top.items.append(" " if text.isspace() else unescape(text))
+        if not tag or tag in RAW:
             continue
-        if tag in VOID:
+        if end:
+            # a stray inline end tag doesn't close a block
+            if stacks[tag] and (tag in BLOCK or stacks[tag][-1].depth > top.block):
+                up_to(stacks[tag][-1].parent)
+        elif tag in VOID:
             top.items.append(Node(tag, top) if tag == "hr" else " " if tag in ("br", "wbr") else "")
-            continue
-        if tag in ("html", "body"):
-            if tag == "body" and not any(isinstance(x, Node) and x.tag == "body" for x in root.items):
-                top = Node("body", root)
-                root.items.append(top)
-            continue
-        if tag in _P_ENDS:
-            top = _closed(top, {"p"}, _SCOPE)
-        if tag in ENDS:
-            top = _closed(top, *ENDS[tag])
-        elif tag == "a":
-            top = _closed(top, {"a"}, BLOCK)
-        node = Node(tag, top, _is_cut(tag, rest, articles > 0))
-        top.items.append(node)
-        if not rest.endswith("/") or tag in BLOCK:
-            top = node
-            articles += tag == "article"
-
-
-def _closed(top: Node, kinds: set, walls: set | frozenset) -> Node:
-    """The parent of the nearest open element of ``kinds`` within ``walls``, else ``top``."""
-    node = top
-    while node is not None and node.tag not in walls:
-        if node.tag in kinds:
-            return node.parent
-        node = node.parent
-    return top
+        elif tag in ("html", "body"):
+            if tag == "body" and body is None:
+                up_to(root)
+                top = body = Node("body", root)
+                root.items.append(body)
+                stacks["body"].append(body)
+        else:
+            for group in ("p" if tag in _P_ENDS else None, ENDS.get(tag)):
+                if group and top.near.get(group):
+                    up_to(top.near[group].parent)
+            node = Node(tag, top, _is_cut(tag, rest, bool(stacks["article"])))
+            top.items.append(node)
+            if not rest.endswith("/") or tag in BLOCK:
+                top = node
+                stacks[tag].append(node)
+    return root
 
 
 def measured(root: Node) -> list[Node]:
@@ -217,11 +238,11 @@ def chosen(root: Node) -> list[Node]:
         side = beside.get(n)
         if side in sides and (side not in largest or (n.total, n.chars) > (largest[side].total, largest[side].chars)):
             largest[side] = n
-    kept = set()
-    for n in {best, *largest.values(), *reach}:
-        while n.tag not in BLOCK and n not in path and n.parent not in path:
-            n = n.parent
-        kept.add(marked[n] or n)
+    # inline parts are kept with the block that they stand in
+    whole = {}
+    for n in reversed(order):
+        whole[n] = n if n.tag in BLOCK or n in path or n.parent in path else whole[n.parent]
+    kept = {marked[whole[n]] or whole[n] for n in (best, *largest.values(), *reach)}
     held, out = set(), []
     for n in reversed(order):
         if n.parent in held:
