@@ -5,7 +5,7 @@ text goes in escaped, and an image, audio or document part becomes a placeholder
 conversation's attachments of all kinds within the turn; its reference and the tokens that it expands to are recorded:
 
 - image: one token per ``PATCH`` x ``PATCH`` pixels, each side rounded up, and 1 without a size
-- audio: ``AUDIO_RATE`` tokens a second, rounded up, and 1 without a length
+- audio: ``AUDIO_RATE`` tokens a second, rounded up, and 1 without a length (null, not finite, or not above zero)
 - document: ``PAGE_TOKENS`` tokens a page, and those of one page without a number
 
 A turn is ``### role: `` + content + `` </turn>`` + newline. So that no content can be read as a mark, every backslash, ``#`` and
@@ -13,13 +13,14 @@ A turn is ``### role: `` + content + `` </turn>`` + newline. So that no content
 reverses this for every text. The loss mask of a turn covers the assistant's content only.
 
 Scale: turns are formatted one by one without a shuffle. What needs a conversation's order (its digests) is read from the
-formatted turns in one pass over partitions that are sorted by conversation and turn, with running digests, so that a
-conversation of any length takes constant memory. Conversations are dealt by conv_id.
+formatted turns in one pass over partitions that are sorted by conversation and turn, with running digests: memory follows
+the longest single turn (about eight times its text), not the conversation. Conversations are dealt by conv_id, and one
+conversation is one task's work, because its digests are ordered.
 
 Defined results: a null text or role is empty; unknown part types are kept as an attachment placeholder of that type with
 no tokens; turns sort by turn (nulls first), then role and text, so ties and repeated rows have one order and count each;
 rows without conv_id make one conversation; a table without rows gives no rows; further columns are kept by
-``format_turns``.
+``format_turns``, beside those it adds where names clash.
 """
 
 from __future__ import annotations
@@ -38,23 +39,31 @@ from rillflow.llm.storage import map_texts
 PATCH = 28
 AUDIO_RATE = 25
 PAGE_TOKENS = 600
+MOST_TOKENS = 2**62
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 ATTACHMENT = "struct<number:int,type:string,ref:string,tokens:long,at:int>"
-_SPECIAL = re.compile(r"([\\#<])")
 _BACK = re.compile(r"\\(.)", re.DOTALL)
 _ROLE = re.compile(r"([\\#<:])")
-_TURN = re.compile(r"### ((?:\\.|[^\\#<:])*): ((?:\\.|<[a-z0-9_]+:[0-9]+>|[^\\#<])*) </turn>\n", re.DOTALL)
+#: Runs are possessive, so that a turn is read in one pass and without a state for each character.
+_HEAD = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ", re.DOTALL)
+_CONTENT = re.compile(r"(?:[^\\#<]++|\\.|<[a-z0-9_]+:[0-9]+>)*+", re.DOTALL)
+_END = " </turn>\n"
 
 
 BACKSLASHED = r"\\\1"
 
 
 def escape(text: str) -> str:
-    return _SPECIAL.sub(BACKSLASHED, text)
+    # backslashes first, so that those put in aren't doubled
+    return text.replace("\\", "\\\\").replace("#", "\\#").replace("<", "\\<")
 
 
 def unescape(text: str) -> str:
-    return _BACK.sub(r"\1", text)
+    # a run of backslashes begins with an escape, so pairs found from the left are escaped backslashes
+    parts = text.split("\\\\")
+    for mark in "#<:":
+        parts = [p.replace(f"\\{mark}", mark) for p in parts]
+    return "\\".join(_BACK.sub(r"\1", p) if "\\" in p else p for p in parts)
 
 
 class Flattener:
@@ -77,7 +86,9 @@ class Flattener:
         self._attach(part, math.prod(-(-s // PATCH) for s in sides) if all(s and s > 0 for s in sides) else 1)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach(part, max(1, math.ceil((part.get("seconds") or 0) * AUDIO_RATE)))
+        seconds = part.get("seconds")
+        known = seconds is not None and math.isfinite(seconds) and seconds > 0
+        self._attach(part, min(MOST_TOKENS, max(1, math.ceil(seconds * AUDIO_RATE))) if known else 1)
 
     def visit_document(self, part: dict) -> None:
         self._attach(part, PAGE_TOKENS * max(1, part.get("pages") or 1))
@@ -114,11 +125,13 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted conversation, unescaped; placeholders stay as they are."""
     out, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        head = _HEAD.match(formatted, at)
+        # the blank before the end mark belongs to the run
+        end = _CONTENT.match(formatted, head.end()).end() - 1 if head else -1
+        if end < 0 or not formatted.startswith(_END, end):
             raise ValueError(f"not a turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((unescape(head[1]), unescape(formatted[head.end() : end])))
+        at = end + len(_END)
     return out
 
 
