@@ -16,8 +16,9 @@ its worst span, turned into a probability by a logistic fit on the training docu
 
 Bounds: at most ``SAMPLE`` toxic and ``SAMPLE`` clean labelled rows are learnt from, chosen by crc32 order. The first
 landmarks are the ``LANDMARKS // 2`` toxic words of greatest excess and the ``LANDMARKS // 4`` commonest clean ones, of 3 to 24
-letters; those added later are clean spans, at most ``LANDMARKS // 4`` in each of two rounds. Toxic words beyond these count
-only by the triples that they share with landmarks. Spans learnt from are cut to 64 characters. Only text is scored.
+letters (``WORD_LETTERS``); those added later are clean spans, at most ``LANDMARKS // 4`` in each of two rounds. Toxic words beyond these count
+only by the triples that they share with landmarks. Spans learnt from are cut to ``SPAN_CHARS``
+characters. Scoring has no bound: every triple of every whole text counts. Only text is scored.
 
 Defined results: null and empty texts have no span and get the score of the logistic fit's floor; without labels of both
 kinds every score is the share of toxic labels (0 if none); rows without doc_id are scored and are not held out; repeated
@@ -46,6 +47,9 @@ WORST = 4
 FLOOR = -3.0
 CERTAIN = 5.0
 REPEATS = 10
+#: Bounds of what is learnt from, never of what is scored: characters of a span, and letters of a first landmark.
+SPAN_CHARS = 64
+WORD_LETTERS = (3, 24)
 _SIZE, _BLANK = 64, 63
 _SLICE = 1 << 18
 
@@ -123,17 +127,17 @@ def worst_spans(texts: list[str], weights: np.ndarray, n: int) -> list[list[tupl
     """The ``n`` distinct spans of highest value of each text."""
     value, first, last, of = span_values(texts, weights)
     starts = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
-    out: list[list[tuple[str, float]]] = [[] for _ in texts]
     order = np.lexsort((first, -value, of))
-    edge = np.searchsorted(of[order], np.arange(len(texts)))
-    order = order[np.arange(len(order)) - edge[of[order]] < 8 * n]
-    for i in order:
-        mine = out[of[i]]
-        if len(mine) < n:
-            at = starts[of[i]] + 2
-            span = texts[of[i]][first[i] - at : last[i] - at].lower()[:64]
-            if all(span != s for s, _ in mine):
-                mine.append((span, float(value[i])))
+    edge = np.searchsorted(of[order], np.arange(len(texts) + 1))
+    out = []
+    for t, text in enumerate(texts):
+        mine: dict[str, float] = {}
+        for i in order[edge[t] : edge[t + 1]]:
+            at = starts[t] + 2
+            mine.setdefault(text[first[i] - at : last[i] - at].lower()[:SPAN_CHARS], float(value[i]))
+            if len(mine) == n:
+                break
+        out.append(list(mine.items()))
     return out
 
 
@@ -289,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, landmarks
         p = np.clip(n1 / max(1, n0 + n1), 1e-9, 1 - 1e-9)
         return Model(np.zeros(_SIZE**3, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))))
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
-    seen = sample.select("toxic", word.alias("word")).where("length(word) between 3 and 24").groupBy("word")
+    seen = sample.select("toxic", word.alias("word")).where(F.length("word").between(*WORD_LETTERS)).groupBy("word")
     seen = seen.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     # how many standard errors a word's toxic documents exceed their share by
     share = n1 / (n0 + n1)

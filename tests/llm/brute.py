@@ -51,3 +51,24 @@ def sections(text: str, spans: list[tuple[int, int]], tokens: list[tuple[int, in
         out[best][1] += 1
         out[best][2] += sum(h > 0 for h in held) > 1
     return [tuple(x) for x in out]
+
+
+def subsequence_value(text: str, weight, decay: float, reach: int, classes) -> list[float]:
+    """The weighted sum over all ordered triples of each span, divided by the span's own weight, triple by triple."""
+    signs = [(int(classes[ord(c)]) if ord(c) < 65536 else 27 + ord(c) % 36) for c in f"  {text}  "]
+    blank = [c == 63 for c in signs]
+    alone = [0 < i < len(signs) - 1 and not blank[i] and blank[i - 1] and blank[i + 1] and signs[i] > 0 for i in range(len(signs))]
+    left = [c for i, c in enumerate(signs) if c > 0 and not (blank[i] and 0 < i < len(signs) - 1 and alone[i - 1] and alone[i + 1])]
+    opens = [i for i, c in enumerate(left) if c == 63]
+    out = []
+    for s, e in zip(opens, [*opens[1:], len(left) - 1], strict=True):
+        span, total, own = left[s : e + 1], 0.0, 0.0
+        for i in range(len(span) - 1):
+            for j in range(i + 1, min(i + reach, len(span) - 1) + 1):
+                for k in range(j + 1, min(j + reach, len(span) - 1) + 1):
+                    if span[j] != 63:
+                        w = decay ** (k - i)
+                        total, own = total + w * weight(span[i], span[j], span[k]), own + w * w
+        if own:
+            out.append(total / own**0.5)
+    return out

@@ -1,10 +1,14 @@
 import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers as P
+import pytest
 
 from rillflow.llm import chat, html, tokencounts, toxicity
 from rillflow.llm.bpe import ByteBPE
-from tests.llm.brute import sections
-
-import public_tokenizers as P
+from tests.llm.brute import sections, subsequence_value
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +49,42 @@ def test_chat_odd_rows(spark):
     assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("seconds", [None, float("nan"), float("inf"), float("-inf"), -3.0, 0.0, 1e300])
+def test_chat_audio_lengths(seconds):
+    seen = chat.Flattener()
+    seen.visit({"type": "audio", "seconds": seconds})
+    assert seen.attachments[0]["tokens"] == (chat.MOST_TOKENS if seconds == 1e300 else 1)
+
+
+def test_chat_escapes_of_all_short_texts():
+    from itertools import product
+
+    for n in range(6):
+        for signs in product("\\#<: a", repeat=n):
+            text = "".join(signs)
+            turn, *_ = chat.formatted_turn(text, [{"type": "text", "text": text}])
+            assert chat.read_turns(turn * 2) == [(text, text)] * 2
+
+
+def test_chat_attachments_and_clashing_names_through_spark(spark):
+    parts = [("text", "see <this> #1", None, None, None, None, None), ("image", None, "a.png", 57, 28, None, None), ("audio", None, "b.wav", None, None, float("nan"), None), ("document", None, "c.pdf", None, None, None, 3), ("Map 2", None, "d", None, None, None, None)]
+    schema = f"conv_id long, turn long, role string, text string, content array<{chat.PART}>, attachments__ string"
+    turns = spark.createDataFrame([(1, 0, "user", None, parts, "mine"), (1, 1, "assistant", None, None, None)], schema)
+    done = chat.format_turns(turns)
+    assert done.columns[:6] == turns.columns and done.columns.count("attachments__") == 2
+    row = sorted(done.collect(), key=lambda r: r["turn"])[0]
+    assert row["attachments__"] == "mine" and row[6] == "### user: see \\<this> \\#1<image:1><audio:2><document:3><map_2:4> </turn>\n"
+    assert [(a["type"], a["ref"], a["tokens"]) for a in row[9]] == [("image", "a.png", 3), ("audio", "b.wav", 1), ("document", "c.pdf", 1800), ("Map 2", "d", 0)]
+    assert row["expanded_tokens__"] == 1804 and all(row[6][a["at"] :].startswith("<") for a in row[9])
+
+
+def test_chat_of_one_very_long_turn(spark):
+    text = "\\ab # <x> c" * 400_000
+    turns = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string").withColumn("content", chat.text_part(chat.F.col("text")))
+    row = chat.read_back(chat.format_turns(turns)).first()
+    assert row["loss_chars"] == len(text) and row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 PAGE = """<html><head><title>t</title><script>var a = "</p>";</script></head><body><header><h1>Site</h1></header><nav><a href=x>menu</a></nav>
 <div class="cookie-notice">We use cookies</div><div id="wrap"><div class="sidebar"><p>side</p></div><div class="content"><h1>T&eacute;st &amp;amp;</h1>
 <p>Long   text with <a href="u">a link</a> in it.<p>Second <b>bold</b>text.<ul><li>one<li>two</ul><form><input>Search</form><div hidden>no</div></div>
@@ -103,12 +143,8 @@ def test_token_counts_against_plain_version(spark):
     for d, t in texts.items():
         ids = coder.encode([t])[0]
         first, end = coder.char_offsets(t, ids)
-        spans, at = [], 0
-        for line in t.splitlines(keepends=True) if "\r" not in t else []:
-            spans.append((at, at + len(line)))
-            at += len(line)
-        if spans and at == len(t) and t.count("\n") >= len(spans) - 1 and not any(c in t for c in "\x0b\x0c\x1c\x1d\x1e\x85  "):
-            assert got[d] == sections(t, spans, list(zip(first.tolist(), end.tolist(), strict=True)))
+        spans = [m.span() for m in re.finditer(r"[^\n]*\n|[^\n]+", t)] or [(0, 0)]
+        assert got[d] == sections(t, spans, list(zip(first.tolist(), end.tolist(), strict=True)))
 
 
 def test_crossing_tokens_go_to_the_larger_part(spark):
@@ -161,6 +197,27 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_span_values_against_all_subsequences():
+    rng = random.Random(6)
+    weights = np.random.default_rng(1).standard_normal(64**3).astype(np.float32)
+    for _ in range(60):
+        text = "".join(rng.choice("abcde fé9.-\n") for _ in range(rng.randint(0, 40)))
+        value, first, last, _ = toxicity.span_values([text], weights)
+        got = [(text[s - 2 : e - 2], float(v)) for v, s, e in zip(value, first, last, strict=True)]
+        want = subsequence_value(text, lambda a, b, c: float(weights[a << 12 | b << 6 | c]), toxicity.DECAY, toxicity.REACH, toxicity._classes())
+        assert [v for _, v in got] == pytest.approx(want, abs=1e-4)
+
+
+def test_worst_spans_look_at_all_spans():
+    weights = np.zeros(64**3, np.float32)
+    text = "bad " * 500 + "worse " + "bad " * 500
+    codes = [ord(c) - 96 for c in "bad"]
+    weights[codes[0] << 12 | codes[1] << 6 | codes[2]] = 1
+    codes = [ord(c) - 96 for c in "ors"]
+    weights[codes[0] << 12 | codes[1] << 6 | codes[2]] = 0.1
+    assert [s for s, _ in toxicity.worst_spans([text, "", "x"], weights, 2)[0]] == ["bad", "worse"]
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     scored = toxicity.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
