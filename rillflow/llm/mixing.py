@@ -15,7 +15,8 @@ ordered by rows. A leaf with a third of all documents is thus spread over 256 ke
 
 Defined results: null group values are groups of their own (named by ``NONE``); a null or blank text counts no tokens and
 is taken where its position is within the prefix; rows without doc_id draw on an empty string; repeated rows count each,
-ordered by text among equal draws; an empty table or a budget of zero gives no rows; other columns stay as they are.
+ordered by a hash of the row among equal draws; an empty table or a budget of zero gives no rows; other columns stay as they
+are, whatever their names; a text of any length is counted whole.
 """
 
 from __future__ import annotations
@@ -104,26 +105,30 @@ def _domain(source: Column) -> Column:
     return F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), (number % len(DOMAINS) + 1).cast("int"))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with row (a hash of the whole row) and copy (a number among equal rows), which name a row for good."""
-    marked = docs.withColumn("row__", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return marked.withColumn("copy__", F.row_number().over(W.partitionBy("doc_id", "row__").orderBy(F.lit(0))))
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row: with doc_id it names a text and all that goes with it."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def chosen(docs: DataFrame) -> DataFrame:
     """The production mix of documents: (doc_id, row, copy, domain, lang, source, epoch, n, budget)."""
-    narrow = docs.select("doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _domain(F.col("source")).alias("domain"), "lang", "source", n_words(F.col("text")).alias("n"))
+    narrow = docs.select("doc_id", _row_hash(docs).alias("row"), _domain(F.col("source")).alias("domain"), "lang", "source", n_words(F.col("text")).alias("n"))
     narrow = narrow.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "row").orderBy(F.lit(0))))
     return mix(narrow, ["domain", "lang", "source"], [DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS])
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the production mix takes, once for each epoch that takes them."""
-    picks = chosen(docs).groupBy("doc_id", "row", "copy").agg(F.count("*").cast("int").alias("times"))
-    rows = _marked(docs)
-    same = rows["doc_id"].eqNullSafe(picks["doc_id"]) & (rows["row__"] == picks["row"]) & (rows["copy__"] == picks["copy"])
-    taken = rows.join(picks.select("row", "copy", "times", picks["doc_id"]), same).select(*[rows[f"`{c}`"] for c in docs.columns], "times")
-    return taken.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    """The rows of ``docs`` that the production mix takes, once for each epoch that takes them.
+
+    Equal rows are told apart only by number while the mix chooses; here they are one row, taken as often as all of them
+    together. They are combined before the shuffle, which the join then shares: texts move once.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
+    picks = chosen(docs).groupBy(name, "row").agg(F.count("*").cast("int").alias("times"))
+    whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("whole")
+    rows = docs.select(name, _row_hash(docs).alias("row"), whole).groupBy("name", "row").agg(F.first("whole").alias("whole"))
+    taken = rows.join(picks, ["name", "row"]).select("whole", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return taken.select(*[F.col(f"whole.`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
