@@ -27,7 +27,7 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.storage import map_texts
+from rillflow.llm.storage import map_texts, numbered
 
 MEMORY = 120_000
 LONG_PIECE = 64
@@ -240,11 +240,15 @@ def transcode(docs: DataFrame, outputs: list[str], column: str = "text", path: s
                 yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
                 done += len(texts)
 
-    kinds = [f.dataType.simpleString() for f in docs.schema.fields] + [OUTPUTS[o] for o in outputs]
-    coded = map_texts(docs.toDF(*map(str, range(len(docs.columns)))), run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
+    coded = map_texts(*_with_run(docs, run, ", ".join(f"`{len(docs.columns) + i}` {OUTPUTS[o]}" for i, o in enumerate(outputs))))
     return coded.toDF(*docs.columns, *outputs)
 
 
+def _with_run(df: DataFrame, run: Callable, added: str) -> tuple:
+    plain, schema = numbered(df, added)
+    return plain, run, schema
+
+
 def encode(docs: DataFrame, column: str = "text", path: str | None = None, pattern: str | None = None, offsets: bool = False) -> DataFrame:
     """``docs`` with ids__ array<int> and, if asked for, starts__ and ends__ (character offsets of each token)."""
     return transcode(docs, ["ids__", "starts__", "ends__"] if offsets else ["ids__"], column, path, pattern)
@@ -263,8 +267,7 @@ def decode(coded: DataFrame, column: str = "ids__", path: str | None = None) ->
                 out = [None if not i.is_valid else bpe.decode(i.values.to_numpy()) for i in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[str(i) for i in range(b.num_columns + 1)])
 
-    kinds = [f.dataType.simpleString() for f in coded.schema.fields] + ["binary"]
-    done = map_texts(coded.toDF(*map(str, range(len(coded.columns)))), run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
+    done = map_texts(*_with_run(coded, run, f"`{len(coded.columns)}` binary"))
     return done.toDF(*coded.columns, "decoded__")
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.storage import map_texts
+from rillflow.llm.storage import map_texts, numbered
 
 PATCH = 28
 AUDIO_RATE = 25
@@ -154,8 +154,9 @@ def format_turns(turns: DataFrame, role: str = "role", content: str = "content")
                 more = [pa.array(text, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(attached, kind), pa.array([sum(a["tokens"] for a in x) for x in attached], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[str(i) for i in range(b.num_columns + len(more))])
 
-    kinds = [f.dataType.simpleString() for f in turns.schema.fields] + ["string", "int", "int", f"array<{ATTACHMENT}>", "long"]
-    done = map_texts(turns.toDF(*map(str, range(len(turns.columns)))), run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
+    n = len(turns.columns)
+    plain, schema = numbered(turns, f"`{n}` string, `{n + 1}` int, `{n + 2}` int, `{n + 3}` array<{ATTACHMENT}>, `{n + 4}` long")
+    done = map_texts(plain, run, schema)
     return done.toDF(*turns.columns, "formatted__", "loss_start__", "loss_end__", "attachments__", "expanded_tokens__")
 
 

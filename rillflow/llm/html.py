@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.storage import map_texts
+from rillflow.llm.storage import map_texts, numbered
 
 #: Fixed values of the HTML standard: elements without content, with raw content, and that stand for blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -300,8 +300,9 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
                 kept = [c for i, c in enumerate(b.columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*kept, text], names=[str(i) for i in range(len(kept) + 1)])
 
-    kinds = [f.dataType.simpleString() for i, f in enumerate(pages.schema.fields) if i != at] + ["string"]
-    done = map_texts(pages.toDF(*map(str, range(len(pages.columns)))), run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
+    plain, _ = numbered(pages)
+    _, schema = numbered(pages.select(*[F.col(f"`{c}`") for c in others]), f"`{len(others)}` string")
+    done = map_texts(plain, run, schema)
     return done.toDF(*others, "text__")
 
 

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,10 +39,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def numbered(df: DataFrame, added: str = "") -> tuple[DataFrame, T.StructType]:
+    """``df`` with its columns named by their place, and its schema with ``added`` ones (a DDL text, or no more).
+
+    Whatever the columns are called, and the fields inside them, functions over Arrow batches can then tell them apart.
+    """
+    plain = df.toDF(*map(str, range(len(df.columns))))
+    more = T.StructType.fromDDL(added).fields if added else []
+    return plain, T.StructType([T.StructField(f.name, f.dataType) for f in plain.schema.fields] + more)
+
+
 BATCH_ROWS = 2000
 
 
-def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` with batches that leave room for long texts: whole documents, two tasks to a small executor.
 
     The session's batch size is lowered for this, never raised.

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillflow.llm.storage import drop, map_texts, materialize
 from rillflow.llm.words import gram_hashes, mixed, sequence_hashes, text_slices, winnowed, word_hashes, word_spans
@@ -158,8 +159,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                     names=[*part.schema.names[:-2], *(x.split()[0] for x in ADDED.split(", "))],
                 )
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-2])
-    return map_texts(docs, run, f"{types}, {ADDED}")
+    return map_texts(docs, run, T.StructType([*docs.schema.fields[:-2], *T.StructType.fromDDL(ADDED).fields]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -183,9 +183,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     gone = materialize(hits.join(copied.rows, "doc_id", "full").select("doc_id", "copies", "hits"), "substring-hits")
     drop(windows)
     inner = [c for c in docs.columns if c not in ("doc_id", "text")]
-    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*inner, F.lit(0).alias("rest__")).alias("rest__"))
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(inner)], F.lit(0).alias("none")).alias("rest__"))
     cut = _cut(typed.join(gone, "doc_id", "left").select("doc_id", "text", "rest__", "copies", "hits"), length)
-    return cut.select(*[c if c in ("doc_id", "text") else F.col(f"rest__.`{c}`") for c in docs.columns], "kept_text__", "n_words__", "repeats__", "n_removed__")
+    return cut.select(*[c if c in ("doc_id", "text") else F.col(f"rest__.`{inner.index(c)}`").alias(c) for c in docs.columns], "kept_text__", "n_words__", "repeats__", "n_removed__")
 
 
 class Copies:
@@ -212,13 +212,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A text that loses nothing stays as it is, white space included; a row whose text has words but keeps none is dropped.
     """
-    cut = remove_repeats(docs).where("n_words__ = 0 or n_removed__ < n_words__")
+    names = [c if c in ("doc_id", "text", "n_chars") else str(i) for i, c in enumerate(docs.columns)]
+    cut = remove_repeats(docs.toDF(*names)).where("n_words__ = 0 or n_removed__ < n_words__")
     text = F.when(F.col("n_removed__") > 0, F.col("kept_text__")).otherwise(F.col("text"))
     new = cut.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         new = new.withColumn("n_chars", F.when(F.col("n_removed__") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return new.select(docs.columns)
+    return new.select(names).toDF(*docs.columns)
 
 
 def substring_sql(length: int = LENGTH) -> str:

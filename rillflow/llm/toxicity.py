@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.storage import map_texts, materialize
+from rillflow.llm.storage import map_texts, materialize, numbered
 
 DECAY = 0.6
 REACH = 3
@@ -332,10 +332,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, landmarks
     return Model(table, offset, *logistic(f, np.array([r["toxic"] for r in rows], float)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score__, from the column text."""
+def score(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
+    """``docs`` with score__, from the column of texts."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -344,8 +344,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.slice(done, len(texts)).columns, pa.array(shipped.value.scores(texts))], names=[str(i) for i in range(b.num_columns + 1)])
                 done += len(texts)
 
-    kinds = [f.dataType.simpleString() for f in docs.schema.fields] + ["double"]
-    done = map_texts(docs.toDF(*map(str, range(len(docs.columns)))), run, ", ".join(f"`{i}` {k}" for i, k in enumerate(kinds)))
+    plain, schema = numbered(docs, f"`{len(docs.columns)}` double")
+    done = map_texts(plain, run, schema)
     return done.toDF(*docs.columns, "score__")
 
 
@@ -358,4 +358,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model doesn't take for toxic."""
-    return score(docs, fit(docs, labels)).where("score__ < 0.5").drop("score__")
+    scored = score(numbered(docs)[0], fit(docs, labels), str(docs.columns.index("text")))
+    return scored.where("score__ < 0.5").drop("score__").toDF(*docs.columns)

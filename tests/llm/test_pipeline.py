@@ -2,6 +2,7 @@ import base64
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rillflow.llm import bpe, mixing, toxicity
@@ -59,3 +60,18 @@ def test_an_empty_table_passes_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    long = "word " * 60_000
+    odd = spark.createDataFrame([(None, None, "en", "src1", 0), (9001, "", None, None, 0), (9002, long, "en", "src1", len(long)), (9003, "twice told", "en", "src1", 10), (9003, "twice told", "en", "src1", 10)], docs.schema)
+    names = ["times", "row__", "copy__", "whole", "name", "score__", "ids__", "n_removed__", "rest__", "hits", "fp"]
+    docs = docs.unionByName(odd).withColumns({n: F.lit(n) for n in names}).withColumn("a b", F.struct(F.lit(1).alias("c d")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, SF), "test")
+        assert docs.columns == before.columns and docs.where(" or ".join(f"`{n}` <> '{n}' or `{n}` is null" for n in names)).count() == 0
+        kept = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        if name != "mixing":
+            assert kept.count(None) == 1 and {9001, 9002} <= {*kept} and kept.count(9003) == 2
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(kept)
