@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and reads
 it back as the next one's docs. All stages but the last return the columns of ``documents``.
+
+Defined results of all stages: a null text is an empty one; empty texts are kept by every stage; a text of any length is
+read whole; rows without doc_id are kept; an empty table gives an empty one; further columns of ``docs`` pass through the
+first four stages under their names, whatever these are, and the last stage returns only its own columns. Repeated rows and
+ties: see each stage.
 """
 
 from __future__ import annotations
@@ -14,22 +19,22 @@ from rillflow.llm.storage import materialize
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model trained on the labels takes for toxic go."""
+    """Documents that a model trained on the labels takes for toxic go. Repeated rows score alike; a score of 0.5 goes."""
     return toxicity.clean_only(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays, with all rows of that doc_id."""
     return simhash.keep_first(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller doc_id has are cut out."""
+    """Passages that a document with a smaller doc_id has are cut out; rows of one doc_id never cut each other."""
     return substring.without_repeats(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn to the target weights, once for each epoch that takes them."""
+    """Documents are drawn to the target weights, once for each epoch that takes them; repeated rows are drawn each."""
     return mixing.mixed_documents(docs)
 
 
