@@ -13,6 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from rillflow.functions.vectors import all_close, blended, mean_by_position, norm, squared_distance
 from rillflow.operators.scoring import centroid, clearly_normal, scored, threshold
+from rillflow.schema import FEATURES
 from rillflow.sources.scratch import scratch_path
 
 
@@ -29,6 +30,29 @@ def load_baseline(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return newest
 
 
+def save_model(scaler: DataFrame, versions: DataFrame, folder: str, input_dim: int, embed_dim: int) -> None:
+    """Write a model's tables under ``folder``: the scaler (feature, mean, scale), its baselines, and its dimensions."""
+    scaler.write.parquet(f"{folder}/scaler")
+    versions.write.parquet(f"{folder}/baseline")
+    scaler.sparkSession.range(1).select(F.lit(input_dim).alias("input_dim"), F.lit(embed_dim).alias("embed_dim")).write.json(f"{folder}/config")
+
+
+def load_model(spark: SparkSession, folder: str, names: list[str] = FEATURES) -> tuple[DataFrame, DataFrame]:
+    """The scaler and the newest baseline of a model folder.
+
+    Fails if one of its tables is missing, if the scaler isn't for ``names``, or if lengths differ from the configuration's.
+    """
+    try:
+        config = spark.read.schema("input_dim int, embed_dim int").json(f"{folder}/config").first()
+        scaler = spark.read.parquet(f"{folder}/scaler")
+    except AnalysisException as problem:
+        raise FileNotFoundError(f"no whole model at {folder}") from problem
+    found = {r["feature"] for r in scaler.select("feature").limit(10 * len(names)).collect()}
+    if config is None or config["input_dim"] != len(names) or found != {*names}:
+        raise ValueError(f"the scaler at {folder} is for {sorted(found)}, the configuration is {config}")
+    return scaler, load_baseline(spark, f"{folder}/baseline", config["embed_dim"])
+
+
 def with_validity(versions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Append-only versions with valid_to, the next one's valid_from. Versions are few, one per update."""
     return versions.withColumn("valid_to", F.lead("valid_from").over(W.partitionBy(*(by or [F.lit(0)])).orderBy("version")))

@@ -90,6 +90,19 @@ def load_baseline(spark, sf_dir):
     return _positions(bl.load_baseline(spark, path, DIM), "mu", "version")
 
 
+def load_model(spark, sf_dir):
+    """Write the flows' scaler, a baseline of their features' length and the dimensions, and load all three."""
+    flows = _flows(spark, sf_dir)
+    scaler = sc.fit_scaler(flows)
+    versions = sc.centroid(sc.embedded(flows, scaler), N).withColumn("version", F.lit(1).cast("long"))
+    path = scratch_path(spark, "model")
+    bl.save_model(sc.scaler_rows(scaler), versions, path, N, N)
+    rows, base = bl.load_model(spark, path)
+    mu = base.select(F.inline(F.arrays_zip(F.array(*[F.lit(f) for f in FEATURES]).alias("feature"), F.col("mu"))))
+    both = rows.join(F.broadcast(mu), "feature")
+    return both.select("feature", *[rounded(F.col(c)).alias(c) for c in ("mean", "scale", "mu")])
+
+
 def centroid(spark, sf_dir):
     return _positions(sc.centroid(_vectors(spark, sf_dir), DIM), "mu")
 
@@ -283,6 +296,12 @@ def recent_scores(spark, sf_dir):
     return rollups.last_n(rows, order, 200)
 
 
+def recent_scores_per_protocol(spark, sf_dir):
+    """The last five of each protocol."""
+    rows = _predicted(spark, sf_dir).select("end_us", "proto", *FLOW_NAME, F.col("is_anomaly").cast("int").alias("is_anomaly"))
+    return rollups.last_n(rows, [F.col("end_us").desc(), F.col("flow_id"), F.col("seg"), F.col("chunk")], 5, ["proto"])
+
+
 def explode_state(spark, sf_dir):
     """A state document of the last 200 scores, written as one JSON object and read back as rows."""
     rows = _predicted(spark, sf_dir).select("end_us", *FLOW_NAME, rounded(F.col("score")).alias("score"), "is_anomaly")
@@ -298,7 +317,7 @@ def explode_state(spark, sf_dir):
 
 _NAMES = ["score_against_baseline", "baseline_versions", "baseline_drift", "baseline_audit", "update_audit_stats", "score_asof_baseline", "load_baseline", "centroid", "threshold_percentile", "fit_scaler", "scale_features", "l2_normalize"]
 _NAMES += ["anomaly_score", "classify", "effective_delta", "clearly_normal", "predict_batch", "encode_mlp", "update_baseline_replace", "update_baseline_ema", "replay_baseline", "recalibrate", "validate_baseline"]
-_NAMES += ["decision_records", "write_decisions", "read_decisions", "filter_anomalies", "alert_rows", "top_features", "top_deviations", "top_scores", "summary_60s", "write_summary", "throughput_1s", "anomaly_rate_cumulative", "active_flows", "snapshot_deltas", "recent_scores", "explode_state"]
+_NAMES += ["decision_records", "write_decisions", "read_decisions", "filter_anomalies", "alert_rows", "top_features", "top_deviations", "top_scores", "summary_60s", "write_summary", "throughput_1s", "anomaly_rate_cumulative", "active_flows", "snapshot_deltas", "recent_scores", "recent_scores_per_protocol", "explode_state", "load_model"]
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _MU = f"[{', '.join(f'avg(v[{i + 1}])' for i in range(DIM))}]"
@@ -379,5 +398,7 @@ SQL = {
     "active_flows": f"{s.FLOWS}, ch as (select {_BUCKET.format(c='start_us', w=60_000_000)} as b, 1 as c from flows union all select {_BUCKET.format(c=s.CLOSE, w=60_000_000)}, -1 from flows), per as (select b, sum(c) as c from ch group by b) select b as bucket_us, (sum(c) over (order by b rows unbounded preceding))::bigint as active from per",
     "snapshot_deltas": f"{_per(60_000_000, False)}, run as (select *, sum(packets) over w as tp, sum(flows) over w as tf from per window w as (order by bucket_us rows unbounded preceding)) select bucket_us, tp::bigint as total_packets, tf::bigint as total_flows, (coalesce(lag(tp) over (order by bucket_us), 0))::bigint as packets_before, (coalesce(lag(tf) over (order by bucket_us), 0))::bigint as flows_before from run",
     "recent_scores": f"{s.SCORED} select end_us, proto, {_NAME}, is_anomaly::int as is_anomaly from ({_LAST})",
+    "recent_scores_per_protocol": f"{s.SCORED}, p as (select *, row_number() over (partition by proto order by end_us desc, {_NAME}) as place from scored) select end_us, proto, {_NAME}, is_anomaly::int as is_anomaly from p where place <= 5",
+    "load_model": f"{s.EMBEDDED} " + " union all ".join(f"select '{f}' as feature, {s.rnd(f'mean_{f}')} as mean, {s.rnd(f'scale_{f}')} as scale, {s.rnd(f'mu[{i + 1}]')} as mu from scaler, center" for i, f in enumerate(FEATURES)),
     "explode_state": f"{s.SCORED} select row_number() over (order by end_us desc, {_NAME}) - 1 as pos, {s.rnd('score')} as score, is_anomaly::int as is_anomaly, end_us::varchar as at from ({_LAST})",
 }

@@ -135,3 +135,18 @@ def test_slices_give_the_same_flows(spark, slice_us):
     packets = spark.createDataFrame(rows, PACKET)
     whole, cut = (sorted(map(tuple, fl.extract(packets, timeout_us=10_000_000, slice_us=s).collect()), key=str) for s in (None, slice_us))
     assert whole == cut
+
+
+def test_frames_with_header_options(spark):
+    import struct
+
+    def frame(ihl, offset, proto, flags, kind=0x0800, version=4):
+        ip = struct.pack("!BBHHHBBH4B4B", version << 4 | ihl, 0, 99, 0, 0, 64, proto, 0, 10, 0, 0, 1, 192, 168, 1, 2) + bytes(4 * (ihl - 5))
+        l4 = struct.pack("!HHIIBBHHH", 5000, 443, 0, 0, offset << 4, flags, 0, 0, 0) + bytes(4 * (offset - 5)) if proto == 6 else struct.pack("!HHHH", 53, 5353, 8, 0)
+        return bytes(12) + struct.pack("!H", kind) + ip + l4
+
+    frames = [frame(5, 5, 6, 0x02), frame(7, 8, 6, 0x12), frame(15, 15, 6, 0x11), frame(9, 5, 17, 0), frame(5, 5, 1, 0), frame(5, 5, 6, 0, kind=0x86DD), frame(5, 5, 6, 0, version=6)]
+    table = spark.createDataFrame([(i, 10 * i, bytearray(f)) for i, f in enumerate(frames)], "pkt_seq long, ts_us long, frame binary")
+    got = [tuple(r[c] for c in ("pkt_seq", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "pkt_len", "header_len", "flags")) for r in src.decode_frames(table).orderBy("pkt_seq").collect()]
+    ends = ("10.0.0.1", "192.168.1.2")
+    assert got == [(0, *ends, 5000, 443, 6, 99, 40, "S"), (1, *ends, 5000, 443, 6, 99, 60, "SA"), (2, *ends, 5000, 443, 6, 99, 120, "AF"), (3, *ends, 53, 5353, 17, 99, 44, "")]

@@ -84,3 +84,19 @@ def test_approximate_threshold(spark):
     scores = spark.range(1000).select((F.col("id") / 10).alias("score"))
     exact, rough = sc.threshold(scores, 0.95).first()["delta"], sc.threshold(scores, 0.95, exact=False).first()["delta"]
     assert abs(exact - rough) < 0.2
+
+
+def test_model_folder_problems(spark, tmp_path):
+    scaler = spark.createDataFrame([("a", 0.0, 1.0), ("b", 1.0, 2.0)], "feature string, mean double, scale double")
+    versions = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "version long, mu array<double>")
+    with pytest.raises(FileNotFoundError):
+        bl.load_model(spark, str(tmp_path / "none"), ["a", "b"])
+    bl.save_model(scaler, versions, str(tmp_path / "m"), 2, 3)
+    rows, base = bl.load_model(spark, str(tmp_path / "m"), ["a", "b"])
+    assert rows.count() == 2 and base.first()["mu"] == [1.0, 2.0, 3.0]
+    for names in (["a", "c"], ["a", "b", "c"]):
+        with pytest.raises(ValueError):
+            bl.load_model(spark, str(tmp_path / "m"), names)
+    bl.save_model(scaler, versions, str(tmp_path / "n"), 2, 4)
+    with pytest.raises(ValueError):
+        bl.load_model(spark, str(tmp_path / "n"), ["a", "b"])
