@@ -23,10 +23,11 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def to_files(stream: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Run over all that is there, into files, and end."""
+def to_files(stream: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> int:
+    """Run over all that is there, into files, and end: how many rows came behind the watermark, by the last progress reports."""
     query = stream.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path)
     query.awaitTermination()
+    return sum(state.numRowsDroppedByWatermark for report in query.recentProgress for state in report.stateOperators)
 
 
 def session_flows(packets: DataFrame, gap: str = "60 seconds 1 microsecond") -> DataFrame:

@@ -36,6 +36,14 @@ def test_flows_that_cross_triggers_and_a_late_row(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3
 
 
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(0, 100, 1, "A"), (1, 101, 1, "A")], [(2, 9_000, 1, "A")], [(3, 9_001, 1, "A")], [(4, 102, 1, "A")], [(5, 86_400, 2, "A")]):
+        packets_at(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    dropped = jobs.to_files(jobs.summaries(src.read_stream(spark, folder, late="1 minute", files_per_trigger=1)), out)
+    assert dropped == 1 and spark.read.parquet(out).agg(F.sum("packets")).first()[0] == 4
+
+
 def test_adaptive_batches_against_numpy(spark, tmp_path):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((60, 3)) * 0.3
