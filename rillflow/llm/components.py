@@ -10,22 +10,27 @@ from rillflow.llm.storage import drop, materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    moved = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+    drop(least)
+    return moved
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    moved = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    drop(least)
+    return moved
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 
     ``edges`` has two long columns; their order, self links, repeats and nulls don't matter. Each round is two
-    aggregations with map-side minima and two equi-joins, so a node with very many links is combined before the
-    shuffle and its join partition is split by adaptive execution. Rounds end when the edge table stops changing.
+    aggregations with map-side minima and two equi-joins. A node with very many links is combined before the shuffle;
+    the minima are written, so that the join shuffles both sides for itself and adaptive execution may split the node's
+    partition. Rounds end when the edge table stops changing.
     """
     x, y = (F.col(c) for c in edges.columns[:2])
     state = materialize(
@@ -37,8 +42,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if not seen["n"]:
             break
-        new = materialize(_small_star(_large_star(state)), "edges")
+        large = _large_star(state)
+        new = _small_star(large)
         drop(state)
+        drop(large)
         state, now = new, new.agg(F.count("*").alias("n"), mark).first()
         if now == seen:
             break

@@ -59,7 +59,7 @@ _P_ENDS = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 CUT = frozenset("nav footer aside form button select dialog menu head iframe noscript object embed canvas template svg input".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Class and id names, whole or up to their first dash, of adverts, notices and readers' comments.
-CUT_NAMES = frozenset("ad ads advert advertisement advertising sponsored promo cookie cookies consent notice newsletter sidebar breadcrumb breadcrumbs comments commentlist disqus".split())
+CUT_NAMES = frozenset("ad ads advert advertisement advertising sponsored promo cookie cookies consent notice newsletter sidebar breadcrumb breadcrumbs comment comments commentlist disqus".split())
 MISQUOTED = 50
 _TAG = r"<(/?)([a-zA-Z][^\s/>]*)"
 _QUOTED = re.compile(_TAG + r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
