@@ -55,6 +55,27 @@ def test_search_in_a_large_group_of_near_copies(spark, noise):
     assert len(got) == 80 and hits == 800
 
 
+def test_search_by_query_group_at_production_settings(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((12_000, 64))
+    x[1::2] = x[1] + 0.05 * np.linalg.norm(x[1]) / 8 * rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 101 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = {0: [], 1: []}
+    for q, g in got.items():
+        found[q % 2].append(len(g & set(nearest(x, q, 10)[0].tolist())) / 10)
+    assert len(got) == 119 and np.mean(found[0]) >= 0.9 and np.mean(found[1]) >= 0.9
+
+
+def test_codes_narrow_down_small_blocks_too(spark):
+    x = clustered(2000)
+    codes = ann.Codebook(x)
+    assert ann.RERANK < 100 and codes.encode(x).shape == (2000, codes.blocks // 2)
+
+
 def test_query_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
@@ -115,3 +136,18 @@ def test_every_link_at_the_limit(spark):
 
 def test_calibrated_count():
     assert collisions.least_count(recall=0.999) <= collisions.least_count(recall=0.9) < collisions.PROJECTIONS
+
+
+def test_few_pairs_are_verified():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lines, half = collisions.lines_for(64), collisions.WINDOW * np.sqrt(2 - 2 * collisions.COSINE)
+    p = x @ lines.T
+    least = collisions.least_count(miss=collisions.miss_for(1500))
+    counts = sum((np.abs(p[:, None, m] - p[None, :, m]) <= half).astype(int) for m in range(len(lines)))
+    share = (np.triu(counts >= least, 1)).sum() / (1500 * 1499 / 2)
+    assert share < 1e-3 and collisions.verified_share(51_282, 64) < 1e-3 and collisions.verified_share(10_000_000, 64) < 0.05
+    # without lines every pair is verified
+    passed = sum(len(i) for i, _ in collisions.linked(x, x, -1.0, lines[:0], True, 0))
+    assert passed == 1500 * 1499 // 2
