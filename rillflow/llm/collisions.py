@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from rillflow.llm.ann import matrix, usable
 from rillflow.llm.components import connected_components
 from rillflow.llm.simhash import forest
-from rillflow.llm.storage import materialize
+from rillflow.llm.storage import map_texts, materialize
 
 COSINE = 0.93
 PROJECTIONS = 48
@@ -119,6 +119,35 @@ def _tasks(rows: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("task", F.explode(tasks)).select("label", "dim", "task.*", "part", "rep", "n", "v")
 
 
+def _prepared(distinct: DataFrame, cosine: float) -> DataFrame:
+    """(label, rep, n, v, dim, cell): vectors made of length 1, and their cell on the first line.
+
+    Cells are as wide as the greatest linked distance; the line is a unit vector, so a linked pair's projections on it are
+    less than a cell apart.
+    """
+    width = sqrt(2 - 2 * cosine) * 1.000001
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v")
+            flat, size = v.flatten().to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy())
+            edge = np.concatenate([[0], np.cumsum(size)])
+            unit, cell = np.empty(len(flat)), np.zeros(len(size), np.int32)
+            for d in np.unique(size).tolist():
+                rows = np.flatnonzero(size == d)
+                at = edge[rows][:, None] + np.arange(d)
+                # by the greatest component first, so that no square overflows or vanishes
+                x = flat[at] / np.abs(flat[at]).max(axis=1, keepdims=True)
+                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                line = lines_for(d, 1)[0]
+                unit[at], cell[rows] = x, np.floor(x @ line / np.linalg.norm(line) / width)
+            lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(unit))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("label", "rep", "n")), lists, pa.array(size.astype(np.int32)), pa.array(cell)], names=["label", "rep", "n", "v", "dim", "cell"])
+
+    kind = distinct.schema["label"].dataType.simpleString()
+    return map_texts(distinct.select("label", "rep", "n", "v"), run, f"label {kind}, rep long, n long, v array<double>, dim int, cell int")
+
+
 def links(distinct: DataFrame, cosine: float = COSINE, block: int | None = None) -> DataFrame:
     """(node, links, root) of linked rows of (label, v, rep, n), from each task: links counts multiplicities."""
 
@@ -149,20 +178,7 @@ def links(distinct: DataFrame, cosine: float = COSINE, block: int | None = None)
         got = total > 0
         return pa.table([pa.array(rep[got]), pa.array(total[got]), pa.array(root[got])], names=["node", "links", "root"])
 
-    # by the greatest component first, so that no square overflows or vanishes
-    most = F.array_max(F.transform("v", lambda z: F.abs(z)))
-    even = distinct.select("label", "rep", "n", F.transform("v", lambda z: z / most).alias("v"))
-    scaled = F.transform("v", lambda z: z / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, t: s + t * t)))
-    rows = even.select("label", "rep", "n", scaled.alias("v")).withColumn("dim", F.size("v"))
-    width = sqrt(2 - 2 * cosine) * 1.000001
-    # the first line, as a unit vector: projections of a linked pair are less than a cell apart
-    dims = [r["dim"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc()).limit(64).collect()]
-    first = {d: (lambda u: u / np.linalg.norm(u))(lines_for(d, 1)[0]) for d in dims}
-    cell = F.lit(0)
-    for d, u in first.items():
-        dot = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(z)) for z in u]), lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-        cell = F.when(F.col("dim") == d, F.floor(dot / width).cast("int")).otherwise(cell)
-    dealt = _tasks(materialize(rows.withColumn("cell", cell), "collisions-rows"), block)
+    dealt = _tasks(materialize(_prepared(distinct, cosine), "collisions-rows"), block)
     return dealt.groupBy("label", "dim", "c", "i", "d", "j").applyInArrow(run, "node long, links long, root long")
 
 
