@@ -13,6 +13,7 @@ from rillflow.llm.simhash import op6_simhash_near_dedup
 from rillflow.llm.substring import op7_substring_dedup, substring_sql
 from rillflow.llm.tokencounts import op8_token_counts
 from rillflow.llm.toxicity import op2_toxicity
+from rillflow.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_ann": op1_ann,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op12_whitening": op12_whitening,
     "op13_lexical_search": op13_lexical_search,
 }
 
