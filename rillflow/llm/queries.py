@@ -6,6 +6,7 @@ from rillflow.llm.ann import op1_ann
 from rillflow.llm.bpe import op10_byte_bpe
 from rillflow.llm.chat import chat_sql, op3_chat_formatting
 from rillflow.llm.collisions import near_duplicates_sql, op9_embedding_near_dedup
+from rillflow.llm.decontamination import decontamination_sql, op11_decontamination
 from rillflow.llm.html import op4_html_extraction
 from rillflow.llm.lexical import lexical_sql, op13_lexical_search
 from rillflow.llm.mixing import mixing_sql, op5_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op11_decontamination": op11_decontamination,
     "op12_whitening": op12_whitening,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -35,5 +37,6 @@ SQL: dict[str, str] = {
     "op5_mixing": mixing_sql(),
     "op7_substring_dedup": substring_sql(),
     "op9_embedding_near_dedup": near_duplicates_sql(),
+    "op11_decontamination": decontamination_sql(),
     "op13_lexical_search": lexical_sql(),
 }
