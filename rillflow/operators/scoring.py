@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.vectors import l2_normalized, mean_by_position, squared_distance
+from rillflow.operators.asof import as_of
 from rillflow.schema import FEATURES
 from rillflow.sources.scratch import written
 
@@ -65,10 +66,10 @@ def clearly_normal(ratio: float = 0.5) -> Column:
     return ~F.col("is_anomaly") & (F.col("score") < ratio * F.col("delta"))
 
 
-def score_as_of(vectors: DataFrame, versions: DataFrame, time: str = "at") -> DataFrame:
-    """Each vector against the version that was in force at its time. Versions are few (one per update step)."""
-    within = (F.col(time) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(time) < F.col("valid_to")))
-    return vectors.join(versions, within).withColumn("score", squared_distance(F.col("v"), F.col("mu"))).drop("mu")
+def score_as_of(vectors: DataFrame, versions: DataFrame, time: str = "at", by: tuple[str, ...] = ()) -> DataFrame:
+    """Each vector against the version (of its ``by``) that was in force at its time; see ``as_of``."""
+    joined = as_of(vectors, versions.select(*by, "version", "valid_from", "mu"), time, by)
+    return joined.withColumn("score", squared_distance(F.col("v"), F.col("mu"))).drop("mu")
 
 
 def predict(flows: DataFrame, p: float = 0.95, kappa: float = 1.0, exact: bool = True) -> DataFrame:

@@ -80,10 +80,18 @@ def update_audit_stats(spark, sf_dir):
 
 
 def score_asof_baseline(spark, sf_dir):
-    got = sc.score_as_of(_vectors(spark, sf_dir).withColumn("at", F.col("vec_id")), bl.with_validity(_versions(spark, sf_dir)))
+    got = sc.score_as_of(_vectors(spark, sf_dir).withColumn("at", F.col("vec_id")), _versions(spark, sf_dir))
     return got.select("vec_id", "version", rounded(F.col("score"), 6).alias("score"))
 
 
+def score_asof_sensor_baseline(spark, sf_dir):
+    """Each vector against its label's own baseline: a version for each hundred of vec_id, in force over the next hundred."""
+    v = _vectors(spark, sf_dir).withColumn("at", F.col("vec_id"))
+    own = v.groupBy("label", F.expr("vec_id div 100").alias("version")).agg(sc.mean_by_position(F.col("v"), DIM).alias("mu"))
+    got = sc.score_as_of(v, own.withColumn("valid_from", (F.col("version") + 1) * 100), by=("label",))
+    return got.select("vec_id", "label", "version", rounded(F.col("score"), 6).alias("score"))
+
+
 def load_baseline(spark, sf_dir):
     path = scratch_path(spark, "baseline")
     _versions(spark, sf_dir).write.parquet(path)
@@ -315,7 +323,7 @@ def explode_state(spark, sf_dir):
     return got.select(F.col("pos").cast("long").alias("pos"), "score", F.col("is_anomaly").cast("int").alias("is_anomaly"), "at")
 
 
-_NAMES = ["score_against_baseline", "baseline_versions", "baseline_drift", "baseline_audit", "update_audit_stats", "score_asof_baseline", "load_baseline", "centroid", "threshold_percentile", "fit_scaler", "scale_features", "l2_normalize"]
+_NAMES = ["score_against_baseline", "baseline_versions", "baseline_drift", "baseline_audit", "update_audit_stats", "score_asof_baseline", "score_asof_sensor_baseline", "load_baseline", "centroid", "threshold_percentile", "fit_scaler", "scale_features", "l2_normalize"]
 _NAMES += ["anomaly_score", "classify", "effective_delta", "clearly_normal", "predict_batch", "encode_mlp", "update_baseline_replace", "update_baseline_ema", "replay_baseline", "recalibrate", "validate_baseline"]
 _NAMES += ["decision_records", "write_decisions", "read_decisions", "filter_anomalies", "alert_rows", "top_features", "top_deviations", "top_scores", "summary_60s", "write_summary", "throughput_1s", "anomaly_rate_cumulative", "active_flows", "snapshot_deltas", "recent_scores", "recent_scores_per_protocol", "explode_state", "load_model"]
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -368,6 +376,7 @@ SQL = {
     "baseline_audit": f"{_VERS} select version as update_id, valid_from, n_used as n_flows_used, {s.rnd('drift', 6)} as drift, 0.99::double as alpha from drifts",
     "update_audit_stats": f"{_VERS}, audit as (select n_used, {s.rnd('drift', 6)} as drift from drifts) select count(*) as updates, sum(n_used)::bigint as flows, min(drift) as least_drift, max(drift) as most_drift, {s.rnd('avg(drift)', 6)} as mean_drift from audit",
     "score_asof_baseline": f"{_VERS} select vec_id, version, {s.rnd(_DIST.format(v='v', mu='mu'), 6)} as score from vecs join vers on vec_id >= valid_from and (valid_to is null or vec_id < valid_to)",
+    "score_asof_sensor_baseline": f"{_V}, own as (select label, vec_id // 100 as version, (vec_id // 100 + 1) * 100 as valid_from, {_MU} as mu from vecs group by label, vec_id // 100), known as (select *, lead(valid_from) over (partition by label order by valid_from) as valid_to from own) select vec_id, vecs.label, version, {s.rnd(_DIST.format(v='v', mu='mu'), 6)} as score from vecs join known on vecs.label = known.label and vec_id >= valid_from and (valid_to is null or vec_id < valid_to)",
     "load_baseline": f"{_VERS} {_unnested('(select * from vers order by version desc limit 1)', 'mu', 'version')}",
     "centroid": f"{_EMB} {_unnested('center', 'mu', '')}",
     "threshold_percentile": f"{_EMB} select 95::bigint as p, {s.rnd('quantile_cont(score, 0.95)', 6)} as delta from d union all select 99::bigint, {s.rnd('quantile_cont(score, 0.99)', 6)} from d",
