@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from rillflow.functions.vectors import all_close, blended, mean_by_position, norm, squared_distance
+from rillflow.operators.replay import replay as replay_by_sensor
 from rillflow.operators.scoring import centroid, clearly_normal, scored, threshold
 from rillflow.schema import FEATURES
-from rillflow.sources.scratch import scratch_path
 
 
 def load_baseline(spark: SparkSession, path: str, dim: int) -> DataFrame:
@@ -88,7 +84,7 @@ def validated(old: DataFrame, new: DataFrame, low: float, high: float) -> DataFr
     return checks.withColumn("valid", F.col("in_range") & F.col("changed"))
 
 
-#: Windows whose vectors lie in one folder and are replayed by one task.
+#: Windows that are folded before their end is written.
 SPAN = 100
 
 
@@ -98,61 +94,6 @@ def replay(vectors: DataFrame, start: list[float], delta: float, width: int, alp
 
 
 def replay_versions(vectors: DataFrame, start: list[float], delta: float, width: int, alpha: float | None = None, ratio: float = 0.5, span: int = SPAN) -> DataFrame:
-    """The update loop over windows of time: (step, flows, anomalies, used, drift, mu) of each window that has rows of (at, v).
-
-    Scores of a window depend on the update before it, so steps follow one another. Vectors are written by spans of
-    ``span`` windows; a task replays one span in order, batch by batch, and appends its steps to a table in the shared
-    folder. Only the centroid after each span comes to the driver. Rows without ``at`` are in no window; vectors with nulls
-    or of another length have no score.
-    """
-    spark, dim, mu = vectors.sparkSession, len(start), list(start)
-    source, table = scratch_path(spark, "replay-vectors"), scratch_path(spark, "replay-versions")
-    whole = F.coalesce((F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull()), F.lit(False))
-    step = F.floor(F.col("at") / width).cast("long").alias("step")
-    rows = vectors.select(step, F.when(whole, F.col("v")).otherwise(F.array().cast("array<double>")).alias("v")).where("step is not null")
-    rows.withColumn("span", F.floor(F.col("step") / span)).repartition("span").sortWithinPartitions("span", "step").write.partitionBy("span").parquet(source)
-    found = spark.read.schema("step long, v array<double>, span long").parquet(source)
-    names = "step long, flows long, anomalies long, used long, drift double, mu array<double>"
-    spark.createDataFrame([], names).write.parquet(table)
-    for r in found.select("span").distinct().orderBy("span").toLocalIterator():
-        path = f"{source}/span={r['span']}"
-        one = spark.read.schema("step long, v array<double>").parquet(path).coalesce(1).sortWithinPartitions("step")
-        done = f"{table}/{r['span']}"
-        one.mapInArrow(_replayed(mu, delta, alpha, ratio), names).write.parquet(done)
-        mu = list(spark.read.schema(names).parquet(done).orderBy(F.col("step").desc()).select("mu").first()["mu"])
-    return spark.read.option("recursiveFileLookup", True).schema(names).parquet(table)
-
-
-def _replayed(start: list[float], delta: float, alpha: float | None, ratio: float):
-    """Batches of (step, v) in order to a row for each step, from the centroid ``start``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mu, now, n, bad, used = np.array(start), None, 0, 0, 0
-        total = np.zeros(len(mu))
-
-        def closed() -> pa.RecordBatch:
-            nonlocal mu
-            new = total / used if used else mu
-            new = new if alpha is None else alpha * mu + (1 - alpha) * new
-            drift, mu = float(np.sqrt(((mu - new) ** 2).sum())), new
-            kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.float64())]
-            values = [now, n, bad, used, drift, mu.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], names=["step", "flows", "anomalies", "used", "drift", "mu"])
-
-        for b in batches:
-            steps = b.column(0).to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], steps[1:] != steps[:-1], [True]])) if len(steps) else []
-            for i, j in zip(edges, edges[1:], strict=False):
-                if steps[i] != now:
-                    if now is not None:
-                        yield closed()
-                    now, n, bad, used, total = int(steps[i]), 0, 0, 0, np.zeros(len(mu))
-                v = b.column(1).slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(mu))
-                score = ((v - mu) ** 2).sum(1)
-                odd = (score > delta) | np.isnan(score)
-                normal = ~odd & (score < ratio * delta)
-                n, bad, used, total = n + int(j - i), bad + int(odd.sum()), used + int(normal.sum()), total + v[normal].sum(0)
-        if now is not None:
-            yield closed()
-
-    return run
+    """The update loop of one baseline: (step, flows, anomalies, used, drift, mu) of each window that has rows of (at, v)."""
+    base = vectors.sparkSession.createDataFrame([(list(start), float(delta))], "mu array<double>, delta double")
+    return replay_by_sensor(vectors, base, width, (), alpha, ratio, span=span)

@@ -11,6 +11,7 @@ from rillflow.operators import decisions as dc
 from rillflow.operators import encoders, rollups
 from rillflow.operators import flows as fl
 from rillflow.operators import scoring as sc
+from rillflow.operators.replay import replay
 from rillflow.plans import sqltext as s
 from rillflow.functions.packets import rounded
 from rillflow.schema import AUDIT, FEATURES, SUMMARY
@@ -186,10 +187,28 @@ def update_baseline_ema(spark, sf_dir):
 
 def replay_baseline(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    start = sc.centroid(v, DIM).first()["mu"]
-    delta = sc.threshold(sc.scored(v, sc.centroid(v, DIM))).first()["delta"]
-    steps = bl.replay_versions(v.select(F.col("vec_id").alias("at"), "v"), start, delta, 100, alpha=0.9, ratio=0.97)
-    return steps.drop("mu")
+    mu = sc.centroid(v, DIM)
+    base = mu.crossJoin(F.broadcast(sc.threshold(sc.scored(v, mu)))).first()
+    steps = bl.replay_versions(v.select(F.col("vec_id").alias("at"), "v"), base["mu"], base["delta"], 100, alpha=0.9, ratio=0.97)
+    return steps.drop("mu").withColumn("drift", rounded(F.col("drift"), 6))
+
+
+def replay_sensors(spark, sf_dir):
+    """Each label as a sensor of its own: its centroid and its 95th percentile to begin with, and windows of 100 vec_ids."""
+    v = _vectors(spark, sf_dir)
+    mu = v.groupBy("label").agg(sc.mean_by_position(F.col("v"), DIM).alias("mu"))
+    own = v.join(mu, "label").withColumn("score", squared_distance(F.col("v"), F.col("mu")))
+    start = mu.join(own.groupBy("label").agg(F.percentile("score", 0.95).alias("delta")), "label")
+    steps = replay(v.withColumn("at", F.col("vec_id")), start, 100, by=("label",), ratio=0.97)
+    return steps.select("label", "step", "flows", "anomalies", "used", rounded(F.col("drift"), 6).alias("drift"))
+
+
+def replay_flows(spark, sf_dir):
+    """Flows of each protocol by minutes of their closing, against a baseline that moves on every minute."""
+    predicted = _predicted(spark, sf_dir).select("proto", F.col("close_us").alias("at"), "v", "delta")
+    start = predicted.groupBy("proto").agg(sc.mean_by_position(F.col("v"), N).alias("mu"), F.first("delta").alias("delta"))
+    steps = replay(predicted.drop("delta"), start, rollups.MINUTE, by=("proto",), alpha=0.9, ratio=0.9)
+    return steps.select("proto", "step", "flows", "anomalies", "used", rounded(F.col("drift"), 6).alias("drift"))
 
 
 def _quiet(spark, sf_dir):
@@ -324,7 +343,7 @@ def explode_state(spark, sf_dir):
 
 
 _NAMES = ["score_against_baseline", "baseline_versions", "baseline_drift", "baseline_audit", "update_audit_stats", "score_asof_baseline", "score_asof_sensor_baseline", "load_baseline", "centroid", "threshold_percentile", "fit_scaler", "scale_features", "l2_normalize"]
-_NAMES += ["anomaly_score", "classify", "effective_delta", "clearly_normal", "predict_batch", "encode_mlp", "update_baseline_replace", "update_baseline_ema", "replay_baseline", "recalibrate", "validate_baseline"]
+_NAMES += ["anomaly_score", "classify", "effective_delta", "clearly_normal", "predict_batch", "encode_mlp", "update_baseline_replace", "update_baseline_ema", "replay_baseline", "replay_sensors", "replay_flows", "recalibrate", "validate_baseline"]
 _NAMES += ["decision_records", "write_decisions", "read_decisions", "filter_anomalies", "alert_rows", "top_features", "top_deviations", "top_scores", "summary_60s", "write_summary", "throughput_1s", "anomaly_rate_cumulative", "active_flows", "snapshot_deltas", "recent_scores", "recent_scores_per_protocol", "explode_state", "load_model"]
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -338,6 +357,23 @@ _VERS = f"""{_V}, v0 as (select label::bigint as version, {_MU} as mu, count(*)
 _POS = "unnest(range(1, len({c}) + 1)) as i"
 
 
+def _replayed(base: str, source: str, start: str, sensor: str, step: str, dim: int, alpha: float | None, ratio: float) -> str:
+    """The update loop as a recursive query: a row of ``start`` (sensor, mu, delta) moves through the sensor's windows."""
+    new = ", ".join(f"avg(v[{i + 1}]) filter (where normal)" for i in range(dim))
+    after = "new" if alpha is None else f"list_transform(range(1, {dim + 1}), lambda i: mu[i] * {alpha}::double + new[i] * (1 - {alpha}::double))"
+    kept = "mu" if alpha is None else f"list_transform(mu, lambda x: x * {alpha}::double + x * (1 - {alpha}::double))"
+    return f"""{base.replace('with ', 'with recursive ', 1)}, windows as (select {sensor} as sensor, {step} as step, row_number() over (partition by {sensor} order by {step}) as place from {source} group by 1, 2),
+placed as (select w.sensor, w.step, w.place, v from {source} s join windows w on s.{sensor} = w.sensor and {step} = w.step), begun as ({start}),
+steps as (select sensor, 0::bigint as place, 0::bigint as step, 0::bigint as flows, 0::bigint as anomalies, 0::bigint as used, 0.0::double as drift, mu, delta from begun
+  union all select sensor, place, step, flows, anomalies, used, sqrt({_DIST.format(v='mu', mu='after')}), after, delta from (
+    select *, case when used > 0 then {after} else {kept} end as after from (
+      select sensor, place, step, count(*) as flows, count(*) filter (where odd) as anomalies, count(*) filter (where normal) as used, [{new}] as new, mu, delta from (
+        select *, score > delta as odd, score <= delta and score < {ratio} * delta as normal from (
+          select p.sensor, p.place, p.step, p.v, r.mu, r.delta, {_DIST.format(v='p.v', mu='r.mu')} as score from steps r join placed p on p.sensor = r.sensor and p.place = r.place + 1))
+      group by sensor, place, step, mu, delta)))
+select {{columns}}step, flows, anomalies, used, {s.rnd('drift', 6)} as drift from steps where place > 0"""
+
+
 def _unnested(source: str, column: str, keys: str, digits: int = 6) -> str:
     keys = f"{keys}, " if keys else ""
     return f"select {keys}(i - 1)::bigint as pos, {s.rnd(f'{column}[i]', digits)} as x from (select *, {_POS.format(c=column)} from {source})"
@@ -390,6 +426,9 @@ SQL = {
     "predict_batch": f"{s.SCORED} select {_NAME}, {s.rnd('score')} as score, {s.rnd('delta')} as delta, is_anomaly::int as is_anomaly from scored",
     "update_baseline_replace": f"{_UPDATED}, u as (select n_used, new as mu from normal) {_unnested('u', 'mu', 'n_used')}",
     "update_baseline_ema": f"{_UPDATED}, u as (select n_used, list_transform(range(1, {DIM + 1}), lambda i: mu[i] * 0.99::double + new[i] * (1 - 0.99::double)) as mu from normal, old) {_unnested('u', 'mu', 'n_used')}",
+    "replay_baseline": _replayed(_EMB + ", one as (select *, 0 as sensor from vecs)", "one", "select 0 as sensor, mu, delta from center, t", "sensor", "vec_id // 100", DIM, 0.9, 0.97).format(columns=""),
+    "replay_sensors": _replayed(f"{_V}, c as (select label, {_MU} as mu from vecs group by label)", "vecs", f"select label as sensor, any_value(mu) as mu, quantile_cont({_DIST.format(v='v', mu='mu')}, 0.95) as delta from vecs join c using (label) group by label", "label", "vec_id // 100", DIM, None, 0.97).format(columns="sensor as label, "),
+    "replay_flows": _replayed(s.SCORED, "scored", f"select proto as sensor, [{', '.join(f'avg(v[{i + 1}])' for i in range(N))}] as mu, any_value(delta) as delta from scored group by proto", "proto", f"({s.CLOSE} // 60000000)::bigint", N, 0.9, 0.9).format(columns="sensor as proto, "),
     "recalibrate": f"{_QUIET}, q2 as (select {s.rnd('delta', 6)} as delta, mu from quiet) {_unnested('q2', 'mu', 'delta')}",
     "validate_baseline": f"{_QUIET}, old as (select {_MU} as mu0 from vecs), c as (select delta, (delta between 0.1 and 10.0)::int as in_range, (list_sum(list_transform(range(1, {DIM + 1}), lambda i: (abs(mu0[i] - mu[i]) > 1e-8 + 1e-5 * abs(mu[i]))::int)) > 0)::int as changed from quiet, old) select {s.rnd('delta', 6)} as delta, in_range, changed, least(in_range, changed) as valid from c",
     "decision_records": f"{s.SCORED} select {s.rnd(s.rnd('score', 6))} as score, {s.rnd(s.rnd('delta', 6))} as delta_effective, {_RECORD} from scored",
