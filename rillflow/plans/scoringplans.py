@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.vectors import l2_normalized, squared_distance
 from rillflow.operators import baseline as bl
+from rillflow.operators import calibration as cal
 from rillflow.operators import decisions as dc
 from rillflow.operators import encoders, rollups
 from rillflow.operators import flows as fl
@@ -16,7 +17,7 @@ from rillflow.plans import sqltext as s
 from rillflow.functions.packets import rounded
 from rillflow.schema import AUDIT, FEATURES, SUMMARY
 from rillflow.sources import packets as src
-from rillflow.sources.scratch import scratch_path
+from rillflow.sources.scratch import scratch_path, written
 
 DIM = 64
 N = len(FEATURES)
@@ -211,19 +212,54 @@ def replay_flows(spark, sf_dir):
     return steps.select("proto", "step", "flows", "anomalies", "used", rounded(F.col("drift"), 6).alias("drift"))
 
 
+#: The quiet period begins so long after the first flow was closed.
+QUIET_FROM = 600_000_000
+
+
+def _store(spark, sf_dir):
+    """The flows in a store by day and hour, their scaler, and when the quiet period begins."""
+    flows = _flows(spark, sf_dir)
+    store = scratch_path(spark, "flow-store")
+    cal.write_flow_store(flows, store)
+    return store, written(sc.fit_scaler(flows), "scaler"), (flows.agg(F.min("close_us").alias("at")).first()["at"] or 0) + QUIET_FROM
+
+
+def flow_store(spark, sf_dir):
+    """The flows closed in the five minutes of the quiet period, read from its hours alone."""
+    store, _, at = _store(spark, sf_dir)
+    return cal.read_period(spark, store, at, at + cal.PERIOD_US).select(*FLOW_NAME, "close_us")
+
+
 def _quiet(spark, sf_dir):
-    return bl.recalibrated(_vectors(spark, sf_dir).where("label < 8"), DIM, 0.99)
+    store, scaler, at = _store(spark, sf_dir)
+    return cal.recalibrated_from(spark, store, scaler, at), scaler, store
 
 
 def recalibrate(spark, sf_dir):
-    return _positions(_quiet(spark, sf_dir).withColumn("delta", rounded(F.col("delta"), 6)), "mu", "delta")
+    """The baseline and the 99th percentile of five minutes of flow time."""
+    return _positions(_quiet(spark, sf_dir)[0].withColumn("delta", rounded(F.col("delta"), 6)), "mu", "n_flows", "delta")
 
 
 def validate_baseline(spark, sf_dir):
-    got = bl.validated(sc.centroid(_vectors(spark, sf_dir), DIM), _quiet(spark, sf_dir), 0.1, 10.0)
+    """The recalibrated baseline beside the one of all flows, which stays as the version before it."""
+    new, scaler, store = _quiet(spark, sf_dir)
+    old = sc.centroid(sc.embedded(spark.read.parquet(store), scaler), N)
+    got = bl.validated(old, new, 0.1, 10.0)
     return got.select(rounded(F.col("delta"), 6).alias("delta"), *[F.col(c).cast("int").alias(c) for c in ("in_range", "changed", "valid")])
 
 
+def score_sketches(spark, sf_dir):
+    """Thresholds of periods of ten minutes from sketches of their minutes: are they where exact percentiles of the scores are?"""
+    scores = _predicted(spark, sf_dir).select("close_us", "score")
+    minutes = written(cal.score_sketches(scores), "score-sketches")
+    period = rollups.bucket(F.col("minute_us"), 10 * rollups.MINUTE).alias("period_us")
+    delta = cal.merged(minutes, [period]).select("period_us", "n", F.kll_sketch_get_quantile_double("sketch", F.lit(0.95)).alias("delta"))
+    placed = scores.withColumn("period_us", rollups.bucket(F.col("close_us"), 10 * rollups.MINUTE)).join(delta, "period_us")
+    got = placed.groupBy("period_us", "n").agg(F.count_if(F.col("score") < F.col("delta")).alias("below"), F.count_if(F.col("score") <= F.col("delta")).alias("not_above"))
+    slack = F.col("n") * 0.01 + 1
+    return got.select("period_us", "n", ((F.col("below") <= F.col("n") * 0.95 + slack) & (F.col("not_above") >= F.col("n") * 0.95 - slack)).cast("int").alias("in_place"))
+
+
 def decision_records(spark, sf_dir):
     rows = dc.decision_records(_predicted(spark, sf_dir))
     return rows.select("ts", "flow_id", rounded(F.col("score")).alias("score"), rounded(F.col("delta_effective")).alias("delta_effective"), F.col("is_anomaly").cast("int").alias("is_anomaly"), "packet_count", "duration_s")
@@ -343,7 +379,7 @@ def explode_state(spark, sf_dir):
 
 
 _NAMES = ["score_against_baseline", "baseline_versions", "baseline_drift", "baseline_audit", "update_audit_stats", "score_asof_baseline", "score_asof_sensor_baseline", "load_baseline", "centroid", "threshold_percentile", "fit_scaler", "scale_features", "l2_normalize"]
-_NAMES += ["anomaly_score", "classify", "effective_delta", "clearly_normal", "predict_batch", "encode_mlp", "update_baseline_replace", "update_baseline_ema", "replay_baseline", "replay_sensors", "replay_flows", "recalibrate", "validate_baseline"]
+_NAMES += ["anomaly_score", "classify", "effective_delta", "clearly_normal", "predict_batch", "encode_mlp", "update_baseline_replace", "update_baseline_ema", "replay_baseline", "replay_sensors", "replay_flows", "recalibrate", "validate_baseline", "flow_store", "score_sketches"]
 _NAMES += ["decision_records", "write_decisions", "read_decisions", "filter_anomalies", "alert_rows", "top_features", "top_deviations", "top_scores", "summary_60s", "write_summary", "throughput_1s", "anomaly_rate_cumulative", "active_flows", "snapshot_deltas", "recent_scores", "recent_scores_per_protocol", "explode_state", "load_model"]
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -380,7 +416,9 @@ def _unnested(source: str, column: str, keys: str, digits: int = 6) -> str:
 
 
 _UPDATED = f"""{_EMB}, normal as (select {_MU} as new, count(*) as n_used from classed where not is_anomaly and score < 0.97 * delta), old as (select {_MU} as mu from vecs where label < 5)"""
-_QUIET = f"""{_V}, q as (select * from vecs where label < 8), qc as (select {_MU} as mu from q), qd as (select {_DIST.format(v='v', mu='mu')} as score from q, qc), quiet as (select mu, (select quantile_cont(score, 0.99) from qd) as delta from qc)"""
+_PERIOD = f"""{s.EMBEDDED}, closing as (select embedded.*, {s.CLOSE} as close_us from embedded), begun as (select min(close_us) + 600000000 as quiet_from from closing),
+q as (select closing.* from closing, begun where close_us >= quiet_from and close_us < quiet_from + 300000000)"""
+_QUIET = f"""{_PERIOD}, qc as (select [{', '.join(f'avg(v[{i + 1}])' for i in range(N))}] as mu, count(*) as n_flows from q), qd as (select {_DIST.format(v='v', mu='mu')} as score from q, qc), quiet as (select n_flows, mu, (select quantile_cont(score, 0.99) from qd) as delta from qc)"""
 _NAME = "flow_id, seg, chunk"
 _BUCKET = "(({c} // {w}) * {w})::bigint"
 _PER = """{base}, per as (select bucket_us, sum(packets)::bigint as packets, sum(flows)::bigint as flows, sum(anomalies)::bigint as anomalies from (
@@ -429,8 +467,10 @@ SQL = {
     "replay_baseline": _replayed(_EMB + ", one as (select *, 0 as sensor from vecs)", "one", "select 0 as sensor, mu, delta from center, t", "sensor", "vec_id // 100", DIM, 0.9, 0.97).format(columns=""),
     "replay_sensors": _replayed(f"{_V}, c as (select label, {_MU} as mu from vecs group by label)", "vecs", f"select label as sensor, any_value(mu) as mu, quantile_cont({_DIST.format(v='v', mu='mu')}, 0.95) as delta from vecs join c using (label) group by label", "label", "vec_id // 100", DIM, None, 0.97).format(columns="sensor as label, "),
     "replay_flows": _replayed(s.SCORED, "scored", f"select proto as sensor, [{', '.join(f'avg(v[{i + 1}])' for i in range(N))}] as mu, any_value(delta) as delta from scored group by proto", "proto", f"({s.CLOSE} // 60000000)::bigint", N, 0.9, 0.9).format(columns="sensor as proto, "),
-    "recalibrate": f"{_QUIET}, q2 as (select {s.rnd('delta', 6)} as delta, mu from quiet) {_unnested('q2', 'mu', 'delta')}",
-    "validate_baseline": f"{_QUIET}, old as (select {_MU} as mu0 from vecs), c as (select delta, (delta between 0.1 and 10.0)::int as in_range, (list_sum(list_transform(range(1, {DIM + 1}), lambda i: (abs(mu0[i] - mu[i]) > 1e-8 + 1e-5 * abs(mu[i]))::int)) > 0)::int as changed from quiet, old) select {s.rnd('delta', 6)} as delta, in_range, changed, least(in_range, changed) as valid from c",
+    "recalibrate": f"{_QUIET}, q2 as (select n_flows, {s.rnd('delta', 6)} as delta, mu from quiet) {_unnested('q2', 'mu', 'n_flows, delta')}",
+    "validate_baseline": f"{_QUIET}, c as (select delta, (delta between 0.1 and 10.0)::int as in_range, (list_sum(list_transform(range(1, {N + 1}), lambda i: (abs(center.mu[i] - quiet.mu[i]) > 1e-8 + 1e-5 * abs(quiet.mu[i]))::int)) > 0)::int as changed from quiet, center) select {s.rnd('delta', 6)} as delta, in_range, changed, least(in_range, changed) as valid from c",
+    "flow_store": f"{_PERIOD} select {_NAME}, close_us from q",
+    "score_sketches": f"{s.SCORED} select (({s.CLOSE}) // 600000000 * 600000000)::bigint as period_us, count(*) as n, 1 as in_place from scored group by 1",
     "decision_records": f"{s.SCORED} select {s.rnd(s.rnd('score', 6))} as score, {s.rnd(s.rnd('delta', 6))} as delta_effective, {_RECORD} from scored",
     "write_decisions": f"{s.SCORED} select {_RECORD}, 5::bigint as n_top from scored",
     "read_decisions": f"{s.SCORED} select packet_count::bigint as packet_count, count(*) as records, case when packet_count % 3 = 0 then 0 else count(*) end as with_flag from scored where packet_count % 5 <> 0 and packet_count % 7 <> 0 group by packet_count",
