@@ -74,9 +74,9 @@ def sessions_by_slices(packets: DataFrame, slice_us: int, timeout_us: int = TIME
 
 def _exact_std(gap: str) -> F.Column:
     """Population deviation of whole numbers, from exact sums."""
-    g = F.col(gap).cast("decimal(38,0)")
+    g = F.col(gap).cast("decimal(19,0)")  # wide before it is squared: two hours in microseconds pass 64 bits
     m = F.count(gap)
-    top = m.cast("decimal(38,0)") * F.sum((F.col(gap) * F.col(gap)).cast("decimal(38,0)")) - F.sum(g) * F.sum(g)
+    top = m.cast("decimal(38,0)") * F.sum((g * g).cast("decimal(38,0)")) - F.sum(g).cast("decimal(38,0)") * F.sum(g).cast("decimal(38,0)")
     return F.coalesce(F.when(m > 0, F.sqrt(top.cast("double")) / (m * 1e6)), F.lit(0.0))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 import time
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.utils import AnalysisException
 
 from rillflow.operators import baseline as bl
@@ -14,7 +17,9 @@ from rillflow.operators.decisions import anomalies
 from rillflow.operators.flows import KEY, keyed
 from rillflow.functions.packets import part_of_flow_id
 from rillflow.schema import DECISION
+from rillflow.sources.packets import transport_only
 
+BEHIND = "behind_watermark"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -23,11 +28,67 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+class Totals(StreamingQueryListener):
+    """What all triggers of a query report, added up: rows behind the watermark, and the whole numbers that ``observe`` counts.
+
+    A query keeps only its last reports; a listener gets every one, and the end of the query after the last.
+    """
+
+    def __init__(self) -> None:
+        self.sums: dict[str, Counter] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def _of(self, run: object) -> tuple[Counter, threading.Event]:
+        return self.sums.setdefault(str(run), Counter()), self.ended.setdefault(str(run), threading.Event())
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._of(event.runId)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        sums, _ = self._of(event.progress.runId)
+        sums["triggers"] += 1
+        sums[BEHIND] += sum(state.numRowsDroppedByWatermark for state in event.progress.stateOperators)
+        for row in event.progress.observedMetrics.values():
+            sums.update({k: v for k, v in row.asDict().items() if isinstance(v, int)})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._of(event.runId)[1].set()
+
+    def of(self, run: object, seconds: float = 60) -> Counter:
+        """The sums of a query that has ended."""
+        sums, ended = self._of(run)
+        if not ended.wait(seconds):
+            raise TimeoutError(f"the end of query {run} was not reported")
+        return sums
+
+
+def counted(stream: DataFrame, path: str, fmt: str = "parquet", mode: str = "append", checkpoint: str | None = None) -> Counter:
+    """Run over all that is there, into files, and end: what its triggers counted, ``BEHIND`` among them.
+
+    With the same ``checkpoint`` (by default beside ``path``) a later run goes on where this one stopped.
+    """
+    spark, totals = stream.sparkSession, Totals()
+    spark.streams.addListener(totals)
+    try:
+        query = stream.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint or f"{path}-checkpoint").trigger(availableNow=True).start(path)
+        query.awaitTermination()
+        return totals.of(query.runId)
+    finally:
+        spark.streams.removeListener(totals)
+
+
 def to_files(stream: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> int:
-    """Run over all that is there, into files, and end: how many rows came behind the watermark, by the last progress reports."""
-    query = stream.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path)
-    query.awaitTermination()
-    return sum(state.numRowsDroppedByWatermark for report in query.recentProgress for state in report.stateOperators)
+    """Run over all that is there, into files, and end: how many rows came behind the watermark."""
+    return counted(stream, path, fmt, mode)[BEHIND]
+
+
+def transport_counted(raw: DataFrame) -> DataFrame:
+    """``transport_only`` of a stream of frames' headers; each trigger reports what is left out and why."""
+    other = (F.col("ip_version") == 4) & ~F.col("proto").isin(6, 17)
+    return transport_only(raw.observe("left_out", F.count_if(F.coalesce(F.col("ip_version") != 4, F.lit(True))).alias("not_ipv4"), F.count_if(F.coalesce(other, F.col("ip_version") == 4)).alias("other_protocol")))
 
 
 def session_flows(packets: DataFrame, gap: str = "60 seconds 1 microsecond") -> DataFrame:

@@ -1,11 +1,17 @@
 """The flow tracker on a packet stream: keyed state, closed by FIN or RST, by the cap, and by event-time timers when idle.
 
-State per endpoint pair is the open flow's running sums, so it has the same size however long the flow is. Rows of a key
-are put in order within a trigger, so a trigger's rows of one pair are held in memory: the source's files per trigger bound
-them. A row that is older than the last one of its open flow, seen in an earlier trigger, can't be put in its place any
-more: it joins no flow and is counted, in a row of reason ``LATE`` whose packet_count is the number of such rows of a pair in
-a trigger. ``flows_of`` and ``late_rows`` tell the two kinds apart. Rows behind the watermark don't reach the tracker; Spark
-counts those itself (numRowsDroppedByWatermark).
+State per endpoint pair is the open flow's running sums, so it has the same size however long the flow is. There are two forms.
+
+``track_in_order`` holds rows back, in state, by slices of event time, until the watermark has passed their slice, and only then
+takes them in, in order: a row that comes late but not behind the watermark joins its flow, and any order of arrival gives
+the same flows. A task holds one chunk of a trigger's rows, or one slice of a pair, at a time.
+
+``track`` takes rows in at once, in order within a trigger, so flows end as soon as their last packet is there. A trigger's rows of
+one pair are held in memory: the source's files per trigger bound them. A row that is older than the last one of its open
+flow, seen in an earlier trigger, can't be put in its place any more: it joins no flow and is counted, in a row of reason
+``LATE`` whose packet_count is the number of such rows of a pair in a trigger. ``flows_of`` and ``late_rows`` tell them apart.
+
+In both forms rows behind the watermark don't reach the tracker; Spark counts those itself (numRowsDroppedByWatermark).
 """
 
 from __future__ import annotations
@@ -13,16 +19,23 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rillflow.functions.packets import FLAG_LETTERS
 from rillflow.operators.flows import KEY, MAX_PACKETS, TIMEOUT_US, keyed
 from rillflow.schema import FEATURES
 
 SUMS = ["first_us", "last_us", "n", "bytes", "nf", "fwd_bytes", "first_f", "last_f", "first_b", "last_b", "header_f", "header_b", "syn", "fin", "rst", "ack", "gaps", "gap_sum", "gap_squares"]
-STATE = ", ".join(f"{c} long" for c in SUMS)
+#: The sum of squared gaps may pass 64 bits and is kept as two numbers.
+STATE = ", ".join(f"{c} long" for c in [*SUMS, "gap_squares_high"])
+LOW = (1 << 62) - 1
+#: A row held back: time, place, sizes, direction and flags (a bit for each letter that counts).
+HELD = np.dtype([("us", "<i8"), ("seq", "<i8"), ("size", "<i4"), ("header", "<i4"), ("fwd", "?"), ("flags", "u1")])
+SLICE_US = 1_000_000
 LATE = "late"
 OUTPUT = "lo_ip string, hi_ip string, lo_port int, hi_port int, proto int, start_us long, end_us long, reason string, " + ", ".join(f"{f} double" for f in FEATURES)
 
@@ -56,7 +69,7 @@ def features(s: dict) -> list[float]:
     """The twenty features, in order, of a flow's sums."""
     nb, back = s["n"] - s["nf"], s["bytes"] - s["fwd_bytes"]
     mean = lambda n, a, b: (b - a) / ((n - 1) * 1e6) if n > 1 else 0.0
-    # whole numbers up to the root: gaps are at most the timeout, so their squares' sum fits a long
+    # whole numbers up to the root
     std = math.sqrt(s["gaps"] * s["gap_squares"] - s["gap_sum"] ** 2) / (s["gaps"] * 1e6) if s["gaps"] else 0.0
     return [
         *(max((s["last_us"] - s["first_us"]) / 1e6, 1e-6), s["n"], s["bytes"], s["nf"], nb, s["fwd_bytes"], back),
@@ -66,6 +79,15 @@ def features(s: dict) -> list[float]:
     ]
 
 
+def to_state(s: dict) -> tuple:
+    return *(s[c] & LOW if c == "gap_squares" else s[c] for c in SUMS), s["gap_squares"] >> 62
+
+
+def from_state(known: tuple) -> dict:
+    s = dict(zip(SUMS, known, strict=False))
+    return s | {"gap_squares": (known[len(SUMS)] << 62) + s["gap_squares"]}
+
+
 class Tracker(StatefulProcessor):
     def __init__(self, timeout_us: int, max_packets: int, min_packets: int):
         self.timeout_us, self.max_packets, self.min_packets = timeout_us, max_packets, min_packets
@@ -78,6 +100,19 @@ class Tracker(StatefulProcessor):
         if s["n"] >= self.min_packets:
             out.append([*key, s["first_us"], s["last_us"], reason, *map(float, features(s))])
 
+    def _take(self, key: tuple, s: dict | None, us: int, size: int, header: int, fwd: bool, flags: str, out: list) -> dict | None:
+        """The open flow after one packet, the next in order."""
+        if s and us - s["last_us"] > self.timeout_us:
+            self._close(key, s, "idle", out)
+            s = None
+        s = s or opened(us)
+        add(s, us, size, header, fwd, flags)
+        ends = "F" in flags or "R" in flags
+        if ends or s["n"] >= self.max_packets:
+            self._close(key, s, "fin_rst" if ends else "cap", out)
+            return None
+        return s
+
     def _frame(self, out: list) -> Iterator[pd.DataFrame]:
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
@@ -90,7 +125,7 @@ class Tracker(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["ts_us", "pkt_seq"])
         batch["flags"] = batch["flags"].fillna("")
         known = self.flow.get() if self.flow.exists() else None
-        s = dict(zip(SUMS, known, strict=True)) if known else None
+        s = from_state(known) if known else None
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         out: list = []
@@ -99,16 +134,9 @@ class Tracker(StatefulProcessor):
             if s and us < s["last_us"]:
                 late.append(int(us))
                 continue
-            if s and us - s["last_us"] > self.timeout_us:
-                self._close(key, s, "idle", out)
-                s = None
-            s = s or opened(int(us))
-            add(s, int(us), int(size), int(header), bool(fwd), flags)
-            if "F" in flags or "R" in flags or s["n"] >= self.max_packets:
-                self._close(key, s, "fin_rst" if "F" in flags or "R" in flags else "cap", out)
-                s = None
+            s = self._take(key, s, int(us), int(size), int(header), bool(fwd), flags, out)
         if s:
-            self.flow.update(tuple(s[c] for c in SUMS))
+            self.flow.update(to_state(s))
             self.handle.registerTimer(self._due(s))
         else:
             self.flow.clear()
@@ -119,7 +147,7 @@ class Tracker(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out: list = []
         if self.flow.exists():
-            self._close(key, dict(zip(SUMS, self.flow.get(), strict=True)), "idle", out)
+            self._close(key, from_state(self.flow.get()), "idle", out)
             self.flow.clear()
         yield from self._frame(out)
 
@@ -127,10 +155,80 @@ class Tracker(StatefulProcessor):
         pass
 
 
+class OrderedTracker(Tracker):
+    """Rows wait in ``held``, a map from slices of event time to their rows, until the watermark has passed their slice."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getMapState("held", "slice long", "rows binary")
+
+    def _hold(self, chunk: pd.DataFrame) -> None:
+        rows = np.zeros(len(chunk), HELD)
+        for name, column in (("us", "ts_us"), ("seq", "pkt_seq"), ("size", "pkt_len"), ("header", "header_len"), ("fwd", "is_fwd")):
+            rows[name] = chunk[column].to_numpy()
+        flags = chunk["flags"].fillna("")
+        for i, letter in enumerate(FLAG_LETTERS):
+            rows["flags"] |= flags.str.contains(letter, regex=False).to_numpy(bool).astype(np.uint8) << i
+        of = rows["us"] // SLICE_US
+        for k in np.unique(of).tolist():
+            before = bytes(self.held.getValue((k,))[0]) if self.held.containsKey((k,)) else b""
+            self.held.updateValue((k,), (before + rows[of == k].tobytes(),))
+
+    def _advance(self, key: tuple, watermark_ms: int, out: list) -> None:
+        """Take in the slices that are complete, close what is idle by then, and set the timer for what comes next."""
+        complete = watermark_ms * 1000 // SLICE_US
+        s = from_state(self.flow.get()) if self.flow.exists() else None
+        left = sorted(k[0] for k in self.held.keys())
+        for k in [k for k in left if k < complete]:
+            rows = np.frombuffer(bytes(self.held.getValue((k,))[0]), HELD)
+            for us, _, size, header, fwd, bits in np.sort(rows, order=["us", "seq"]).tolist():
+                s = self._take(key, s, us, size, header, fwd, "".join(c for i, c in enumerate(FLAG_LETTERS) if bits >> i & 1), out)
+            self.held.removeKey((k,))
+        if s and s["last_us"] + self.timeout_us < complete * SLICE_US:
+            self._close(key, s, "idle", out)
+            s = None
+        if s:
+            self.flow.update(to_state(s))
+        else:
+            self.flow.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        ends = [k + 1 for k in left if k >= complete][:1] + ([(s["last_us"] + self.timeout_us) // SLICE_US + 1] if s else [])
+        if ends:
+            self.handle.registerTimer(min(ends) * SLICE_US // 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for chunk in rows:
+            self._hold(chunk)
+        out: list = []
+        self._advance(key, timerValues.getCurrentWatermarkInMs(), out)
+        yield from self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out: list = []
+        self._advance(key, timerValues.getCurrentWatermarkInMs(), out)
+        yield from self._frame(out)
+
+
+def _tracked(packets: DataFrame, tracker: Tracker) -> DataFrame:
+    rows = keyed(packets.withColumn("ts_us", F.unix_micros("ts"))).select(*KEY, "ts", "ts_us", "pkt_seq", "pkt_len", "header_len", "is_fwd", "flags")
+    return rows.groupBy(*KEY).transformWithStateInPandas(tracker, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+
+
 def track(packets: DataFrame, timeout_us: int = TIMEOUT_US, max_packets: int = MAX_PACKETS, min_packets: int = 2) -> DataFrame:
     """Closed flows of a packet stream that has a watermark on ts, and counts of late rows. Needs the RocksDB state store."""
-    rows = keyed(packets.withColumn("ts_us", F.unix_micros("ts"))).select(*KEY, "ts", "ts_us", "pkt_seq", "pkt_len", "header_len", "is_fwd", "flags")
-    return rows.groupBy(*KEY).transformWithStateInPandas(Tracker(timeout_us, max_packets, min_packets), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    return _tracked(packets, Tracker(timeout_us, max_packets, min_packets))
+
+
+def track_in_order(packets: DataFrame, timeout_us: int = TIMEOUT_US, max_packets: int = MAX_PACKETS, min_packets: int = 2) -> DataFrame:
+    """Closed flows of a packet stream that has a watermark on ts, whatever the order in which rows ahead of it come."""
+    return _tracked(packets, OrderedTracker(timeout_us, max_packets, min_packets))
+
+
+def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The flows that are open in the state of a stopped tracker's checkpoint: the endpoint pair and the flow's sums."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "flow").load()
+    return state.select(*[F.col(f"key.{c}").alias(c) for c in KEY], *[F.col(f"value.{c}").alias(c) for c in ("first_us", "last_us", "n", "bytes")])
 
 
 def flows_of(tracked: DataFrame) -> DataFrame:
