@@ -323,7 +323,10 @@ def _packets(spark, sf_dir):
 
 
 def summary_60s(spark, sf_dir):
-    rows = rollups.summary(_packets(spark, sf_dir), _predicted(spark, sf_dir))
+    """Every minute; each 101st packet stands for a report of the capture that it dropped as many packets as its header has words."""
+    packets = _packets(spark, sf_dir)
+    drops = packets.where(F.col("pkt_seq") % 101 == 0).select("ts_us", F.expr("header_len div 4").alias("n"))
+    rows = rollups.summary(packets, _predicted(spark, sf_dir), drops=drops)
     return rows.withColumns({c: rounded(F.col(c), 6) for c in ("packets_per_sec", "flows_per_sec", "anomaly_rate")})
 
 
@@ -338,7 +341,7 @@ def throughput_1s(spark, sf_dir):
 
 
 def anomaly_rate_cumulative(spark, sf_dir):
-    per = rollups.throughput(_packets(spark, sf_dir), _predicted(spark, sf_dir), rollups.MINUTE).drop("packets", "opened")
+    per = rollups.throughput(_packets(spark, sf_dir), _predicted(spark, sf_dir), rollups.MINUTE).drop("packets", "opened", "dropped")
     got = rollups.cumulative(per, "flows", "anomalies")
     return got.select("bucket_us", "total_flows", "total_anomalies", rounded(F.col("total_anomalies") / F.greatest("total_flows", F.lit(1)), 6).alias("rate"))
 
@@ -348,7 +351,7 @@ def active_flows(spark, sf_dir):
 
 
 def snapshot_deltas(spark, sf_dir):
-    per = rollups.throughput(_packets(spark, sf_dir), _flows(spark, sf_dir), rollups.MINUTE).drop("anomalies", "opened")
+    per = rollups.throughput(_packets(spark, sf_dir), _flows(spark, sf_dir), rollups.MINUTE).drop("anomalies", "opened", "dropped")
     got = rollups.cumulative(per, "packets", "flows")
     return got.select("bucket_us", "total_packets", "total_flows", (F.col("total_packets") - F.col("packets")).alias("packets_before"), (F.col("total_flows") - F.col("flows")).alias("flows_before"))
 
@@ -429,9 +432,13 @@ def _per(width: int, scored: bool) -> str:
     return _PER.format(base=s.SCORED if scored else s.FLOWS, p=_BUCKET.format(c="ts_us", w=width), f=_BUCKET.format(c=s.CLOSE, w=width), a="is_anomaly::int" if scored else "0", t="scored" if scored else "flows")
 
 
-_SUMMARY = f"""{_per(60_000_000, True)}, opens as (select {_BUCKET.format(c='start_us', w=60_000_000)} as bucket_us, count(*) as opened from flows group by 1)
-select bucket_us as window_start_us, bucket_us + 60000000 as window_end_us, (sum(coalesce(opened, 0) - flows) over (order by bucket_us rows unbounded preceding))::bigint as active_flows, packets as packets_total, flows as flows_closed, {s.rnd('packets / 60.0', 6)} as packets_per_sec, {s.rnd('flows / 60.0', 6)} as flows_per_sec, anomalies as anomaly_count,
-  {s.rnd('anomalies::double / greatest(flows, 1)', 6)} as anomaly_rate from per left join opens using (bucket_us)"""
+_SPINE = "spine as (select unnest(generate_series((select min(bucket_us) from {per}), (select max(bucket_us) from {per}), 60000000)) as bucket_us)"
+_SUMMARY = f"""{_per(60_000_000, True)}, opens as (select {_BUCKET.format(c='start_us', w=60_000_000)} as bucket_us, count(*) as opened from flows group by 1), {_SPINE.format(per='per')},
+lost as (select {_BUCKET.format(c='ts_us', w=60_000_000)} as bucket_us, sum(header_len // 4)::bigint as dropped from packets where pkt_seq % 101 = 0 group by 1),
+whole as (select bucket_us, coalesce(opened, 0) as opened, coalesce(packets, 0)::bigint as packets, coalesce(flows, 0)::bigint as flows, coalesce(anomalies, 0)::bigint as anomalies, coalesce(dropped, 0)::bigint as dropped
+  from spine left join per using (bucket_us) left join opens using (bucket_us) left join lost using (bucket_us))
+select bucket_us as window_start_us, bucket_us + 60000000 as window_end_us, (sum(opened - flows) over (order by bucket_us rows unbounded preceding))::bigint as active_flows, packets as packets_total, flows as flows_closed, {s.rnd('packets / 60.0', 6)} as packets_per_sec, {s.rnd('flows / 60.0', 6)} as flows_per_sec, anomalies as anomaly_count,
+  {s.rnd('anomalies::double / greatest(flows, 1)', 6)} as anomaly_rate, dropped from whole"""
 _RECORD = "end_us / 1e6 as ts, flow_id, is_anomaly::int as is_anomaly, packet_count::bigint as packet_count, " + s.rnd("(end_us - start_us) / 1e6") + " as duration_s"
 _LAST = f"select * from scored order by end_us desc, {_NAME} limit 200"
 
@@ -483,7 +490,7 @@ SQL = {
     "write_summary": _SUMMARY,
     "throughput_1s": f"{_per(1_000_000, False)} select bucket_us, packets, flows from per",
     "anomaly_rate_cumulative": f"{_per(60_000_000, True)}, run as (select bucket_us, sum(flows) over w as f, sum(anomalies) over w as a from per window w as (order by bucket_us rows unbounded preceding)) select bucket_us, f::bigint as total_flows, a::bigint as total_anomalies, {s.rnd('a::double / greatest(f, 1)', 6)} as rate from run",
-    "active_flows": f"{s.FLOWS}, ch as (select {_BUCKET.format(c='start_us', w=60_000_000)} as b, 1 as c from flows union all select {_BUCKET.format(c=s.CLOSE, w=60_000_000)}, -1 from flows), per as (select b, sum(c) as c from ch group by b) select b as bucket_us, (sum(c) over (order by b rows unbounded preceding))::bigint as active from per",
+    "active_flows": f"{s.FLOWS}, ch as (select {_BUCKET.format(c='start_us', w=60_000_000)} as bucket_us, 1 as c from flows union all select {_BUCKET.format(c=s.CLOSE, w=60_000_000)}, -1 from flows), per as (select bucket_us, sum(c) as c from ch group by bucket_us), {_SPINE.format(per='per')} select bucket_us, (sum(coalesce(c, 0)) over (order by bucket_us rows unbounded preceding))::bigint as active from spine left join per using (bucket_us)",
     "snapshot_deltas": f"{_per(60_000_000, False)}, run as (select *, sum(packets) over w as tp, sum(flows) over w as tf from per window w as (order by bucket_us rows unbounded preceding)) select bucket_us, tp::bigint as total_packets, tf::bigint as total_flows, (coalesce(lag(tp) over (order by bucket_us), 0))::bigint as packets_before, (coalesce(lag(tf) over (order by bucket_us), 0))::bigint as flows_before from run",
     "recent_scores": f"{s.SCORED} select end_us, proto, {_NAME}, is_anomaly::int as is_anomaly from ({_LAST})",
     "recent_scores_per_protocol": f"{s.SCORED}, p as (select *, row_number() over (partition by proto order by end_us desc, {_NAME}) as place from scored) select end_us, proto, {_NAME}, is_anomaly::int as is_anomaly from p where place <= 5",

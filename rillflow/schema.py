@@ -20,7 +20,7 @@ PACKET = T.StructType(
 )
 
 DECISION = "ts double, flow_id string, score double, delta_effective double, is_anomaly boolean, packet_count long, duration_s double, top_features map<string,double>"
-SUMMARY = "window_start_us long, window_end_us long, packets_total long, flows_closed long, packets_per_sec double, flows_per_sec double, anomaly_count long, anomaly_rate double, active_flows long"
+SUMMARY = "window_start_us long, window_end_us long, packets_total long, flows_closed long, packets_per_sec double, flows_per_sec double, anomaly_count long, anomaly_rate double, active_flows long, dropped long"
 AUDIT = "update_id long, valid_from long, n_flows_used long, drift double, alpha double"
 STATE = "updated_at string, total_flows long, total_anomalies long, scores array<double>, is_anomaly array<boolean>, timestamps array<string>"
 
