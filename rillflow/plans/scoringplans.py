@@ -389,14 +389,17 @@ QUERIES = {n: globals()[n] for n in _NAMES}
 _MU = f"[{', '.join(f'avg(v[{i + 1}])' for i in range(DIM))}]"
 _V = "with vecs as (select vec_id, embedding::double[] as v, label from embeddings)"
 _DIST = s.DISTANCE
-_EMB = f"""{_V}, center as (select {_MU} as mu from vecs), d as (select vecs.*, {_DIST.format(v='v', mu='mu')} as score from vecs, center),
+EMB = f"""{_V}, center as (select {_MU} as mu from vecs), d as (select vecs.*, {_DIST.format(v='v', mu='mu')} as score from vecs, center),
 t as (select quantile_cont(score, 0.95) as delta from d), classed as (select *, score > delta as is_anomaly from d, t)"""
 _VERS = f"""{_V}, v0 as (select label::bigint as version, {_MU} as mu, count(*) as n_used from vecs group by label), vers as (select *, version * 50 as valid_from, lead(version * 50) over (order by version) as valid_to,
   lag(mu) over (order by version) as before from v0), drifts as (select *, case when before is null then 0.0 else sqrt({_DIST.format(v='mu', mu='before')}) end as drift from vers)"""
 _POS = "unnest(range(1, len({c}) + 1)) as i"
 
 
-def _replayed(base: str, source: str, start: str, sensor: str, step: str, dim: int, alpha: float | None, ratio: float) -> str:
+_STEP = f"step, flows, anomalies, used, {s.rnd('drift', 6)} as drift"
+
+
+def replayed(base: str, source: str, start: str, sensor: str, step: str, dim: int, alpha: float | None, ratio: float, out: str = "") -> str:
     """The update loop as a recursive query: a row of ``start`` (sensor, mu, delta) moves through the sensor's windows."""
     new = ", ".join(f"avg(v[{i + 1}]) filter (where normal)" for i in range(dim))
     after = "new" if alpha is None else f"list_transform(range(1, {dim + 1}), lambda i: mu[i] * {alpha}::double + new[i] * (1 - {alpha}::double))"
@@ -410,7 +413,7 @@ steps as (select sensor, 0::bigint as place, 0::bigint as step, 0::bigint as flo
         select *, score > delta as odd, score <= delta and score < {ratio} * delta as normal from (
           select p.sensor, p.place, p.step, p.v, r.mu, r.delta, {_DIST.format(v='p.v', mu='r.mu')} as score from steps r join placed p on p.sensor = r.sensor and p.place = r.place + 1))
       group by sensor, place, step, mu, delta)))
-select {{columns}}step, flows, anomalies, used, {s.rnd('drift', 6)} as drift from steps where place > 0"""
+select {out or _STEP} from steps where place > 0"""
 
 
 def _unnested(source: str, column: str, keys: str, digits: int = 6) -> str:
@@ -418,7 +421,7 @@ def _unnested(source: str, column: str, keys: str, digits: int = 6) -> str:
     return f"select {keys}(i - 1)::bigint as pos, {s.rnd(f'{column}[i]', digits)} as x from (select *, {_POS.format(c=column)} from {source})"
 
 
-_UPDATED = f"""{_EMB}, normal as (select {_MU} as new, count(*) as n_used from classed where not is_anomaly and score < 0.97 * delta), old as (select {_MU} as mu from vecs where label < 5)"""
+_UPDATED = f"""{EMB}, normal as (select {_MU} as new, count(*) as n_used from classed where not is_anomaly and score < 0.97 * delta), old as (select {_MU} as mu from vecs where label < 5)"""
 _PERIOD = f"""{s.EMBEDDED}, closing as (select embedded.*, {s.CLOSE} as close_us from embedded), begun as (select min(close_us) + 600000000 as quiet_from from closing),
 q as (select closing.* from closing, begun where close_us >= quiet_from and close_us < quiet_from + 300000000)"""
 _QUIET = f"""{_PERIOD}, qc as (select [{', '.join(f'avg(v[{i + 1}])' for i in range(N))}] as mu, count(*) as n_flows from q), qd as (select {_DIST.format(v='v', mu='mu')} as score from q, qc), quiet as (select n_flows, mu, (select quantile_cont(score, 0.99) from qd) as delta from qc)"""
@@ -451,7 +454,7 @@ select {_NAME}, place, {names}[i] as name, value as {out} from ranked where plac
 
 
 SQL = {
-    "score_against_baseline": f"{_EMB} select vec_id, {s.rnd('score', 6)} as score, is_anomaly::int as is_anomaly from classed",
+    "score_against_baseline": f"{EMB} select vec_id, {s.rnd('score', 6)} as score, is_anomaly::int as is_anomaly from classed",
     "baseline_versions": f"{_VERS} select version, n_used, valid_from, valid_to from vers",
     "baseline_drift": f"{_VERS} select version, {s.rnd('drift', 6)} as drift from drifts",
     "baseline_audit": f"{_VERS} select version as update_id, valid_from, n_used as n_flows_used, {s.rnd('drift', 6)} as drift, 0.99::double as alpha from drifts",
@@ -459,21 +462,21 @@ SQL = {
     "score_asof_baseline": f"{_VERS} select vec_id, version, {s.rnd(_DIST.format(v='v', mu='mu'), 6)} as score from vecs join vers on vec_id >= valid_from and (valid_to is null or vec_id < valid_to)",
     "score_asof_sensor_baseline": f"{_V}, own as (select label, vec_id // 100 as version, (vec_id // 100 + 1) * 100 as valid_from, {_MU} as mu from vecs group by label, vec_id // 100), known as (select *, lead(valid_from) over (partition by label order by valid_from) as valid_to from own) select vec_id, vecs.label, version, {s.rnd(_DIST.format(v='v', mu='mu'), 6)} as score from vecs join known on vecs.label = known.label and vec_id >= valid_from and (valid_to is null or vec_id < valid_to)",
     "load_baseline": f"{_VERS} {_unnested('(select * from vers order by version desc limit 1)', 'mu', 'version')}",
-    "centroid": f"{_EMB} {_unnested('center', 'mu', '')}",
-    "threshold_percentile": f"{_EMB} select 95::bigint as p, {s.rnd('quantile_cont(score, 0.95)', 6)} as delta from d union all select 99::bigint, {s.rnd('quantile_cont(score, 0.99)', 6)} from d",
+    "centroid": f"{EMB} {_unnested('center', 'mu', '')}",
+    "threshold_percentile": f"{EMB} select 95::bigint as p, {s.rnd('quantile_cont(score, 0.95)', 6)} as delta from d union all select 99::bigint, {s.rnd('quantile_cont(score, 0.99)', 6)} from d",
     "fit_scaler": f"{s.SCALER} " + " union all ".join(f"select '{f}' as feature, {s.rnd(f'mean_{f}')} as mean, {s.rnd(f'scale_{f}')} as scale from scaler" for f in FEATURES),
     "scale_features": f"{s.EMBEDDED} select {_NAME}, (i - 1)::bigint as pos, {s.rnd(s.rnd('z[i]', 6))} as x from (select *, unnest(range(1, {N + 1})) as i from scaled)",
     "l2_normalize": f"{_V}, w as (select vec_id, list_transform(v, lambda x: x * (label + 1)) as v from vecs), u as (select vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) as v from w) {_unnested('u', 'v', 'vec_id')}",
     "anomaly_score": f"{_V}, c as (select label, {_MU} as mu from vecs group by label) select vec_id, {s.rnd(_DIST.format(v='v', mu='mu'), 6)} as score from vecs join c using (label)",
-    "classify": f"{_EMB} select label, count(*) as n, count(*) filter (where is_anomaly) as anomalies from classed group by label",
-    "effective_delta": f"{_EMB} select {s.rnd('delta * 0.98', 6)} as delta_effective, count(*) filter (where score > delta * 0.98) as anomalies from classed group by 1",
-    "clearly_normal": f"{_EMB} select vec_id from classed where not is_anomaly and score < 0.97 * delta",
+    "classify": f"{EMB} select label, count(*) as n, count(*) filter (where is_anomaly) as anomalies from classed group by label",
+    "effective_delta": f"{EMB} select {s.rnd('delta * 0.98', 6)} as delta_effective, count(*) filter (where score > delta * 0.98) as anomalies from classed group by 1",
+    "clearly_normal": f"{EMB} select vec_id from classed where not is_anomaly and score < 0.97 * delta",
     "predict_batch": f"{s.SCORED} select {_NAME}, {s.rnd('score')} as score, {s.rnd('delta')} as delta, is_anomaly::int as is_anomaly from scored",
     "update_baseline_replace": f"{_UPDATED}, u as (select n_used, new as mu from normal) {_unnested('u', 'mu', 'n_used')}",
     "update_baseline_ema": f"{_UPDATED}, u as (select n_used, list_transform(range(1, {DIM + 1}), lambda i: mu[i] * 0.99::double + new[i] * (1 - 0.99::double)) as mu from normal, old) {_unnested('u', 'mu', 'n_used')}",
-    "replay_baseline": _replayed(_EMB + ", one as (select *, 0 as sensor from vecs)", "one", "select 0 as sensor, mu, delta from center, t", "sensor", "vec_id // 100", DIM, 0.9, 0.97).format(columns=""),
-    "replay_sensors": _replayed(f"{_V}, c as (select label, {_MU} as mu from vecs group by label)", "vecs", f"select label as sensor, any_value(mu) as mu, quantile_cont({_DIST.format(v='v', mu='mu')}, 0.95) as delta from vecs join c using (label) group by label", "label", "vec_id // 100", DIM, None, 0.97).format(columns="sensor as label, "),
-    "replay_flows": _replayed(s.SCORED, "scored", f"select proto as sensor, [{', '.join(f'avg(v[{i + 1}])' for i in range(N))}] as mu, any_value(delta) as delta from scored group by proto", "proto", f"({s.CLOSE} // 60000000)::bigint", N, 0.9, 0.9).format(columns="sensor as proto, "),
+    "replay_baseline": replayed(EMB + ", one as (select *, 0 as sensor from vecs)", "one", "select 0 as sensor, mu, delta from center, t", "sensor", "vec_id // 100", DIM, 0.9, 0.97),
+    "replay_sensors": replayed(f"{_V}, c as (select label, {_MU} as mu from vecs group by label)", "vecs", f"select label as sensor, any_value(mu) as mu, quantile_cont({_DIST.format(v='v', mu='mu')}, 0.95) as delta from vecs join c using (label) group by label", "label", "vec_id // 100", DIM, None, 0.97, f"sensor as label, {_STEP}"),
+    "replay_flows": replayed(s.SCORED, "scored", f"select proto as sensor, [{', '.join(f'avg(v[{i + 1}])' for i in range(N))}] as mu, any_value(delta) as delta from scored group by proto", "proto", f"({s.CLOSE} // 60000000)::bigint", N, 0.9, 0.9, f"sensor as proto, {_STEP}"),
     "recalibrate": f"{_QUIET}, q2 as (select n_flows, {s.rnd('delta', 6)} as delta, mu from quiet) {_unnested('q2', 'mu', 'n_flows, delta')}",
     "validate_baseline": f"{_QUIET}, c as (select delta, (delta between 0.1 and 10.0)::int as in_range, (list_sum(list_transform(range(1, {N + 1}), lambda i: (abs(center.mu[i] - quiet.mu[i]) > 1e-8 + 1e-5 * abs(quiet.mu[i]))::int)) > 0)::int as changed from quiet, center) select {s.rnd('delta', 6)} as delta, in_range, changed, least(in_range, changed) as valid from c",
     "flow_store": f"{_PERIOD} select {_NAME}, close_us from q",

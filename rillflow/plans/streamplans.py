@@ -186,16 +186,36 @@ def batch_metrics(spark, sf_dir):
     return got.agg(F.count("*").alias("batches"), F.sum("n_rows").alias("n_rows"), F.avg("n_rows").alias("mean_size"), F.avg("duration_ms").alias("mean_ms"), F.percentile_approx("duration_ms", 0.95).alias("p95_ms"))
 
 
+def stream_scored_windows(spark, sf_dir):
+    """Packets out of order to flows, scores and counts per second and per minute, in one stream with bytes and time per trigger."""
+    jobs.use_rocksdb(spark)
+    flows = _flows(spark, sf_dir)
+    scaler = written(sc.fit_scaler(flows), "scaler")
+    vectors = sc.embedded(flows, scaler)
+    mu = written(sc.centroid(vectors, len(FEATURES)), "centroid")
+    base = written(mu.crossJoin(F.broadcast(sc.threshold(sc.scored(vectors, mu)))), "baseline")
+    folder, path = scratch_path(spark, "packet-stream"), scratch_path(spark, "scored")
+    packets = src.packets_from_events(spark, sf_dir)
+    _shuffled(packets, folder)
+    _last(packets, folder)
+    stream = src.read_stream(spark, folder, late="10 minutes", bytes_per_trigger=64 << 20)
+    jobs.score_flows(track_in_order(stream), scaler, base, path, every="1 second")
+    return jobs.window_counts(spark, path)
+
+
 def stream_adaptive(spark, sf_dir):
+    """Five runs of one job, each over the next fifth of the vectors, from the checkpoint of the one before."""
     v = _vectors(spark, sf_dir)
-    folder = scratch_path(spark, "vector-stream")
-    v.repartitionByRange(5, "vec_id").sortWithinPartitions("vec_id").write.parquet(folder)
+    folder, path = scratch_path(spark, "vector-stream"), scratch_path(spark, "adaptive")
+    last = v.agg(F.max("vec_id").alias("last")).first()["last"] or 0
     mu = sc.centroid(v, DIM)
     first = mu.crossJoin(F.broadcast(sc.threshold(sc.scored(v, mu))))
-    path = scratch_path(spark, "adaptive")
-    stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    jobs.adapt_batches(stream, first, path, DIM)
-    return spark.read.parquet(f"{path}/versions/*").select("version", "n_used", "delta", F.aggregate("mu", F.lit(0.0), lambda a, x: a + x * x).alias("mu_norm2"))
+    for i in range(5):
+        v.where(F.floor(F.col("vec_id") * 5 / (last + 1)) == i).repartition(_files(spark)).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1_000_000).parquet(folder)
+        jobs.adapt_batches(stream, first, path, DIM)
+    size = F.aggregate("mu", F.lit(0.0), lambda a, x: a + x * x)
+    return jobs.versions(spark, path).select("version", "n_used", rounded(F.col("delta"), 6).alias("delta"), rounded(size, 6).alias("mu_norm2"))
 
 
 def stream_alerts(spark, sf_dir):
@@ -205,7 +225,7 @@ def stream_alerts(spark, sf_dir):
     return spark.read.parquet(path).select("flow_id", "hi_ip", "hi_port", rounded(F.col("score")).alias("score"))
 
 
-_ALL = (stream_packets, stream_flows, stream_resumed_flows, stream_discards, stream_session_flows, stream_summary, stream_scores, batch_metrics, stream_adaptive, stream_alerts)
+_ALL = (stream_packets, stream_flows, stream_resumed_flows, stream_discards, stream_session_flows, stream_summary, stream_scores, batch_metrics, stream_scored_windows, stream_adaptive, stream_alerts)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -223,6 +243,8 @@ select 'not_ipv4' as reason, count(*) filter (where six) as n from v union all s
         "stream_session_flows": packetplans.SQL["flows_idle_timeout"],
         "stream_summary": f"{s.SCORED}, p as (select (ts_us // 60000000 * 60000000)::bigint as window_start_us, count(*) as packets, sum(pkt_len)::bigint as bytes from packets group by 1), f as (select ({s.CLOSE} // 60000000 * 60000000)::bigint as window_start_us, count(*) as flows, count(*) filter (where is_anomaly) as anomalies from scored group by 1) select window_start_us, coalesce(packets, 0) as packets, coalesce(bytes, 0) as bytes, coalesce(flows, 0) as flows, coalesce(anomalies, 0) as anomalies from p full join f using (window_start_us)",
         "stream_scores": scoringplans.SQL["predict_batch"],
+        "stream_scored_windows": f"{s.SCORED}, w as (select {s.CLOSE} as close_us, is_anomaly, unnest([1000000, 60000000])::bigint as width from scored) select width, (close_us // width * width)::bigint as window_start_us, count(*) as flows, count(*) filter (where is_anomaly) as anomalies from w group by all",
+        "stream_adaptive": scoringplans.replayed(scoringplans.EMB + ", one as (select *, 0 as sensor, (vec_id * 5 // (select max(vec_id) + 1 from vecs))::bigint as fifth from vecs)", "one", "select 0 as sensor, mu, delta from center, t", "sensor", "fifth", DIM, 0.99, 0.97, f"step as version, used as n_used, {s.rnd('delta', 6)} as delta, {s.rnd('list_sum(list_transform(mu, lambda x: x * x))', 6)} as mu_norm2"),
         "stream_alerts": f"{s.SCORED} select flow_id, hi_ip, hi_port::varchar as hi_port, {s.rnd(s.rnd('score', 6))} as score from scored where is_anomaly",
     }
 

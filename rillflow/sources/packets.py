@@ -17,9 +17,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return with_micros(spark.read.schema(PACKET).format(fmt).load(path))
 
 
-def read_stream(spark: SparkSession, path: str, fmt: str = "parquet", late: str = "10 seconds", files_per_trigger: int = 8) -> DataFrame:
-    """A packet stream over the files of a folder; rows later than ``late`` are dropped by stateful steps."""
-    return spark.readStream.schema(PACKET).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path).withWatermark("ts", late)
+def read_stream(spark: SparkSession, path: str, fmt: str = "parquet", late: str = "10 seconds", files_per_trigger: int = 8, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A packet stream over the files of a folder; rows later than ``late`` are dropped by stateful steps.
+
+    A trigger takes so many files, or with ``bytes_per_trigger`` files of about so many bytes.
+    """
+    limit = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
+    return spark.readStream.schema(PACKET).format(fmt).option(*limit).load(path).withWatermark("ts", late)
 
 
 def with_micros(packets: DataFrame) -> DataFrame:

@@ -5,19 +5,21 @@ from __future__ import annotations
 import threading
 import time
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.utils import AnalysisException
 
 from rillflow.operators import baseline as bl
 from rillflow.operators import scoring as sc
 from rillflow.operators.decisions import anomalies
-from rillflow.operators.flows import KEY, keyed
+from rillflow.operators.encoders import Network, encode_mlp
+from rillflow.operators.flows import KEY, close_us, keyed
 from rillflow.functions.packets import part_of_flow_id
 from rillflow.schema import DECISION
 from rillflow.sources.packets import transport_only
+from rillflow.sources.scratch import exists, remove, written
 
 BEHIND = "behind_watermark"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -128,25 +130,83 @@ def score_batches(flows: DataFrame, scaler: DataFrame, base: DataFrame, path: st
     flows.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def adapt_batches(vectors: DataFrame, first: DataFrame, path: str, dim: int, alpha: float = 0.99, ratio: float = 0.97) -> None:
-    """Score each micro-batch against the newest baseline, then append the next version; a repeated batch changes nothing."""
-    spark = vectors.sparkSession
+def score_flows(tracked: DataFrame, scaler: DataFrame, base: DataFrame, path: str, encoder: Network | None = None, widths: tuple[int, ...] = (1_000_000, 60_000_000), every: str | None = None) -> None:
+    """From tracked flows to decisions and counts per window, in one query over all that is there.
+
+    Each trigger's flows are standardised, encoded (or only brought to length 1), classified against ``base`` (mu, delta) and
+    appended under ``path``/decisions; their numbers per window of closing go to ``path``/counts, to be added up by
+    ``window_counts``. A trigger that is run again replaces its own folders. With ``every`` a trigger starts by the clock.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        flows = batch.withColumn("close_us", close_us())
+        vectors = sc.embedded(flows, scaler) if encoder is None else encode_mlp(sc.scaled(flows, scaler), encoder).withColumn("v", F.col("v").cast("array<double>")).drop("z")
+        out = f"{path}/decisions/batch={number}"
+        sc.classified(sc.scored(vectors, base.select("mu")), base.select("delta")).drop("v").write.mode("overwrite").parquet(out)
+        done = batch.sparkSession.read.parquet(out)
+        each = done.select("close_us", "is_anomaly", F.explode(F.array(*[F.lit(w).cast("long") for w in widths])).alias("width"))
+        counts = each.groupBy("width", F.expr("(close_us div width - if(close_us % width < 0, 1, 0)) * width").alias("window_start_us")).agg(F.count("*").alias("flows"), F.count_if("is_anomaly").alias("anomalies"))
+        counts.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    writer = tracked.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint")
+    if every is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    query = writer.trigger(processingTime=every).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def window_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(width, window_start_us, flows, anomalies) of all triggers of ``score_flows``."""
+    rows = spark.read.schema("width long, window_start_us long, flows long, anomalies long").parquet(f"{path}/counts")
+    return rows.groupBy("width", "window_start_us").agg(F.sum("flows").alias("flows"), F.sum("anomalies").alias("anomalies"))
 
-    def newest(before: int) -> DataFrame:
-        try:
-            known = spark.read.schema("version long, mu array<double>, delta double, n_used long").parquet(f"{path}/versions/*").where(F.col("version") < before)
-            row = known.orderBy(F.col("version").desc()).limit(1).collect()
-        except AnalysisException:
-            row = []
-        return spark.createDataFrame([(row[0]["mu"], row[0]["delta"])], "mu array<double>, delta double") if row else first.select("mu", "delta")
+
+VERSION = "version long, mu array<double>, delta double, n_used long"
+#: Versions of a baseline that share a segment of its log.
+SEGMENT = 100
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """All versions in the log of ``adapt_batches``."""
+    parts = [spark.read.schema(VERSION).parquet(f"{path}/{kind}/*") for kind in ("versions", "segments") if exists(spark, f"{path}/{kind}")]
+    return reduce(DataFrame.unionByName, parts).dropDuplicates(["version"])
+
+
+def _compact(spark: SparkSession, path: str, number: int, segment: int) -> None:
+    """Put the versions of the segment before the last into one folder; those that a running batch may need stay as they are."""
+    k = number // segment - 2
+    if number % segment or k < 0:
+        return
+    single = [f"{path}/versions/{i}" for i in range(k * segment, (k + 1) * segment)]
+    if not exists(spark, f"{path}/segments/{k}/_SUCCESS"):
+        spark.read.schema(VERSION).parquet(*single).coalesce(1).write.mode("overwrite").parquet(f"{path}/segments/{k}")
+    for folder in single:
+        remove(spark, folder)
+
+
+def adapt_batches(vectors: DataFrame, first: DataFrame, path: str, dim: int, alpha: float = 0.99, ratio: float = 0.97, segment: int = SEGMENT) -> None:
+    """Score each micro-batch against the newest baseline, then append the next version; a repeated batch changes nothing.
+
+    Batch n makes version n from version n - 1, which is found by its number: no batch lists or reads older versions. They
+    are gathered in segments as the log grows.
+    """
+    spark = vectors.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
-        base = newest(number)
+        before = f"{path}/versions/{number - 1}"
+        if number and not exists(spark, f"{before}/_SUCCESS"):
+            raise FileNotFoundError(f"version {number - 1} of the baseline at {path} is missing")
+        base = written((spark.read.schema(VERSION).parquet(before) if number else first).select("mu", "delta"), "baseline")
         scored = sc.classified(sc.scored(batch, base.select("mu")), base.select("delta"))
         out = f"{path}/scores/batch={number}"
         scored.write.mode("overwrite").parquet(out)
         new = bl.updated(spark.read.parquet(out), base, dim, alpha, ratio).crossJoin(F.broadcast(base.select("delta")))
         new.select(F.lit(number).cast("long").alias("version"), "mu", "delta", "n_used").write.mode("overwrite").parquet(f"{path}/versions/{number}")
+        _compact(spark, path, number, segment)
 
     vectors.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
