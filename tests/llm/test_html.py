@@ -112,3 +112,39 @@ def test_raw_parts_end_where_they_end_in_the_page():
     # lower case of this letter is two characters
     page = "<body>" + "İ" * 50 + "<SCRIPT>var a = 1;</Script><p>after</p>"
     assert html.main_text(page) == "İ" * 50 + "\nafter"
+
+
+LONG, SIDE = (" ".join(f"{w}{i}" for i in range(120)) for w in ("word", "side"))
+WHOLE = {
+    "a form around the page": (f"<html><head><title>x</title></head><body><form action=x><input type=hidden value=1><ul><li><a href=a>Home</a></li></ul><div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div><button>Go</button></form></body></html>", f"Head\n{LONG}\n{LONG}"),
+    "an open head and no body": (f"<!DOCTYPE html><head><title>x</title><meta charset=utf-8><p>{LONG}<p>{LONG}", f"{LONG}\n{LONG}"),
+    "an open head and text": (f"<head><title>x</title>{LONG}", LONG),
+    "a wrapper named like a sidebar": (f'<body><div class="sidebar-layout"><div><p>{LONG}</p></div><div class="sidebar"><p>{SIDE}</p></div></div></body>', LONG),
+    "a wrapper with a sidebar's name": (f'<body><div class="sidebar"><div><h1>A</h1><p>{LONG}</p></div></div></body>', f"A\n{LONG}"),
+    "a form in a notice": (f'<body><div class="notice"><form><p>{LONG}</p></form></div><div class="ad"><p>short {SIDE[:30]}</p></div></body>', LONG),
+    "hyphenated names": (f'<body><article><p>{LONG}</p><div class="ad-hoc-analysis"><p>One {LONG}</p></div><p class="notice-period">Two {LONG}</p><section id="comment-on-law"><p>Three {LONG}</p></section></article></body>', f"{LONG}\nOne {LONG}\nTwo {LONG}\nThree {LONG}"),
+    "a list of replies": (f'<body><article><p>{LONG}</p></article><ol class="replies"><li><p>Reply {SIDE}</p></li></ol></body>', LONG),
+    "articles as comments": (f"<body><article><h1>A</h1><p>{LONG}</p><section><article><p>Reply {SIDE[:300]}</p></article><article><p>{SIDE[:300]}</p></article></section></article></body>", f"A\n{LONG}"),
+    "articles in a frame": (f"<body><article><h1>A</h1><article><p>{LONG}</p></article><article><p>{SIDE}</p></article></article></body>", f"A\n{LONG}\n{SIDE}"),
+    "a form to sign up": (f"<body><article><p>{LONG}</p><form class=x><p>Subscribe {SIDE}</p><input></form></article></body>", LONG),
+    "quotes after many odd ones": ("<body>" + "<i '\">" * 70 + f'<p title="1 > 2">{LONG}</p></body>', LONG),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_no_page_is_lost_or_padded(name):
+    page, want = WHOLE[name]
+    assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_pages_of_two_articles_lose_little(tag):
+    pages = [p["html"] for p in pq.read_table(PAGES).to_pylist()]
+    article = lambda page: re.search(r"<article>.*?</article>", page, re.DOTALL)[0]
+    lost = total = 0
+    for a, b in zip(pages[::2], pages[1::2], strict=False):
+        page = a.replace(article(a), article(a) + article(b)).replace("article>", f"{tag}>")
+        want = set(f"{template_text(a)}\n{template_text(b)}".split("\n"))
+        lost += sum(map(len, want - set(html.main_text(page).split("\n"))))
+        total += sum(map(len, want))
+    assert lost <= 0.02 * total
