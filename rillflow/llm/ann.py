@@ -8,10 +8,11 @@ blocks, and code words by the loss's normal equations; both use a sample of at m
 
 Search: every vector is coded and dealt to a code block; the queries are dealt to query blocks, and each pair of blocks is
 a task: per query a table of its products with the code words (two four-bit tables joined into one of 256), one lookup per
-byte of code, the ``RERANK`` best codes of the block, and their exact distances in double precision. No row is nearer than
-its code's distance less its residual's norm, so every other row for which that bound doesn't exceed the k-th exact distance
-is scored exactly too: codes only save work, and no neighbour is lost to them. A task returns ten rows a query, and the
-last step ranks those.
+byte of code, the ``RERANK`` best codes of the block, and their exact distances in double precision. Every other row whose
+code comes within a margin of the k-th of these is scored exactly too. The margin is ``MARGIN`` deviations of what the query's
+products with residuals of the block's length are, taken from ``MARGIN_SAMPLE`` rows, so that a neighbour is lost about once in
+thousands. Where the best codes' rows have their residuals in common (near copies), codes can't tell them apart and the
+margin is the residual's whole length, which loses none. A task returns ten rows a query, and the last step ranks those.
 
 Scale: a code block has at most about ``BLOCK`` rows and a query block ``QUERY_BLOCK`` (24 MB at 64 dimensions), fewer in
 tables too small to give every core a block, so that a task's memory is bounded. n rows and q queries make n/BLOCK copies
@@ -38,6 +39,11 @@ PARALLEL = 4.0
 BLOCK = 32768
 QUERY_BLOCK = 16384
 RERANK = 64
+#: Deviations of a query's products with residual directions, taken over so many rows of a block, within which codes decide.
+MARGIN = 3.25
+MARGIN_SAMPLE = 1024
+#: Squared length of the mean residual direction of the best codes' rows from which they count as near copies.
+COPIES = 0.2
 WIDTH = 2
 K = 10
 
@@ -140,6 +146,59 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+class Block:
+    """Coded rows in order of vec_id, and the search among them."""
+
+    def __init__(self, codebook: Codebook, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.v = ids[order], vectors[order]
+        self.columns = np.ascontiguousarray(codes[order].T)
+        residual = codebook.augmented(self.v) - codebook.decode(codes[order])
+        self.norm = np.linalg.norm(residual, axis=1)
+        #: rows of small residuals may be a group's, which errs in its own way; they get the margin of the others
+        self.usual = np.maximum(self.norm, self.norm.mean())
+        self.directions = (residual / np.maximum(self.norm, 1e-300)[:, None]).astype(np.float32)
+        self.sample = self.directions[np.linspace(0, len(ids) - 1, min(len(ids), MARGIN_SAMPLE)).astype(int)]
+
+    def margins(self, queries: np.ndarray) -> np.ndarray:
+        """By query: how far a product may be from its code's, in units of the row's residual, but for one row in thousands."""
+        padded = np.zeros((len(queries), self.directions.shape[1]))
+        padded[:, : queries.shape[1]], padded[:, queries.shape[1]] = queries, 1.0
+        return MARGIN * np.sqrt(((self.sample @ padded.T) ** 2).mean(0))
+
+    def nearest(self, query: int, q: np.ndarray, table: np.ndarray, margin: float, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, distances) of the ``k`` nearest rows but the query's own, and how many rows were measured."""
+        near = table[0][self.columns[0]]
+        for m in range(1, len(self.columns)):
+            near += table[m][self.columns[m]]
+        other = self.ids != query
+        near[~other] = -np.inf
+        if rerank < len(near):
+            # candidates of equal code come in order of vec_id
+            edge = np.partition(near, len(near) - rerank)[len(near) - rerank]
+            above = np.flatnonzero(near > edge)
+            picked = np.concatenate([above, np.flatnonzero(near == edge)[: rerank - len(above)]])
+        else:
+            picked = np.arange(len(near))
+        picked = picked[other[picked]]
+        d = np.sqrt(((self.v[picked] - q) ** 2).sum(1))
+        if rerank < len(near):
+            # what the scan's single precision may be off, and the product that a row must reach to be among the k nearest
+            off = 2.0**-22 * len(self.columns) * np.abs(table).max(1).sum(dtype=np.float64)
+            least = ((q**2).sum() - np.partition(d, k - 1)[k - 1] ** 2) / 2 if len(d) >= k else -np.inf
+            bound = np.sqrt((q**2).sum() + 1) * self.norm
+            # near copies are off all alike, so that nothing but the residual's whole length bounds them
+            alike = np.linalg.norm(self.directions[picked].mean(0, dtype=np.float64)) ** 2 > COPIES
+            reach = bound if alike else np.minimum(bound, margin * self.usual)
+            open_ = other & (near + reach + off >= least - 1e-9 * abs(least))
+            open_[picked] = False
+            more = np.flatnonzero(open_)
+            picked = np.concatenate([picked, more])
+            d = np.concatenate([d, np.sqrt(((self.v[more] - q) ** 2).sum(1))])
+        best = np.lexsort((self.ids[picked], d))[:k]
+        return self.ids[picked][best], d[best], len(picked)
+
+
 def fit(vectors: DataFrame, size: int = SAMPLE) -> Codebook:
     """Code words from the ``size`` rows of least hash; a bounded sample of fixed-length rows."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("v").collect()
@@ -171,53 +230,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, block: int | None =
     asked = vectors.where(is_query).select("vec_id", "v", spread(query_blocks).alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        codebook = shipped.value
-        names = ["query_id", "vec_id", "score"]
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            ids = left.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], matrix(left.column("v").combine_chunks())[order]
-            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            columns = np.ascontiguousarray(codes.T)
-            coded = codebook.decode(codes)
-            dim = v.shape[1]
-            last, square = coded[:, dim], (coded[:, :dim] ** 2).sum(1)
-            residual = np.sqrt(((v - coded[:, :dim]) ** 2).sum(1))
+            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
+            held = Block(shipped.value, left.column("vec_id").to_numpy(), matrix(left.column("v").combine_chunks()), codes)
             queries, qs = right.column("vec_id").to_numpy(), matrix(right.column("v").combine_chunks())
             for s in range(0, len(qs), 32):
-                tables = codebook.tables(qs[s : s + 32])
-                for i, t in enumerate(tables, s):
-                    near = t[0][columns[0]]
-                    for m in range(1, len(columns)):
-                        near += t[m][columns[m]]
-                    near[ids == queries[i]] = -np.inf
-                    if rerank < len(near):
-                        # candidates of equal code come in order of vec_id
-                        edge = np.partition(near, len(near) - rerank)[len(near) - rerank]
-                        above = np.flatnonzero(near > edge)
-                        picked = np.concatenate([above, np.flatnonzero(near == edge)[: rerank - len(above)]])
-                    else:
-                        picked = np.arange(len(near))
-                    picked = picked[ids[picked] != queries[i]]
-                    d = np.sqrt(((v[picked] - qs[i]) ** 2).sum(1))
-                    if rerank < len(near):
-                        # |q - c|² from the scan's products, less what their single precision may be off
-                        off = 2.0**-22 * len(columns) * np.abs(t).max(1).sum(dtype=np.float64)
-                        away = (qs[i] ** 2).sum() + square - 2 * (near.astype(np.float64) - last + off)
-                        least = np.sqrt(np.maximum(away, 0)) - residual
-                        edge = np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
-                        open_ = ~(least * (1 - 1e-9) > edge) & (ids != queries[i])
-                        open_[picked] = False
-                        more = np.flatnonzero(open_)
-                        picked = np.concatenate([picked, more])
-                        d = np.concatenate([d, np.sqrt(((v[more] - qs[i]) ** 2).sum(1))])
-                    best = np.lexsort((ids[picked], d))[:k]
-                    out[0].append(np.full(len(best), queries[i]))
-                    out[1].append(ids[picked][best])
-                    out[2].append(d[best])
+                for query, q, t, m in zip(queries[s : s + 32], qs[s : s + 32], shipped.value.tables(qs[s : s + 32]), held.margins(qs[s : s + 32]), strict=True):
+                    ids, d, _ = held.nearest(query, q, t, m, k, rerank)
+                    for column, x in zip(out, (np.full(len(ids), query), ids, d), strict=True):
+                        column.append(x)
         joined = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table([pa.array(joined[0].astype(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(joined[2].astype(np.float64))], names=names)
+        return pa.table([pa.array(joined[0].astype(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(joined[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
 
     found = base.groupBy("cb", "qb").cogroup(asked.groupBy("cb", "qb")).applyInArrow(scan, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))

@@ -70,6 +70,39 @@ def test_search_by_query_group_at_production_settings(spark):
     assert len(got) == 119 and np.mean(found[0]) >= 0.9 and np.mean(found[1]) >= 0.9
 
 
+def searched(x, queries):
+    """(recall, share of the rows measured exactly) over one block."""
+    codebook = ann.Codebook(x[: ann.SAMPLE])
+    block = ann.Block(codebook, np.arange(len(x)), x, codebook.encode(x))
+    hits = measured = 0
+    for i in queries:
+        q = x[i : i + 1]
+        ids, _, n = block.nearest(i, q[0], codebook.tables(q)[0], block.margins(q)[0], 10, ann.RERANK)
+        hits, measured = hits + len(set(ids.tolist()) & set(nearest(x, i, 10)[0].tolist())), measured + n
+    return hits / 10 / len(queries), measured / len(queries) / len(x)
+
+
+def test_codes_decide_on_most_rows(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()
+    recall, share = searched(np.array([r["embedding"] for r in rows], np.float64), range(0, 2000, 10))
+    assert recall >= 0.98 and share < 0.1
+    x = np.random.default_rng(0).standard_normal((20_000, 64))
+    recall, share = searched(x / np.linalg.norm(x, axis=1, keepdims=True), range(0, 20_000, 400))
+    assert recall >= 0.98 and share < 0.05
+
+
+@pytest.mark.parametrize("noise", [0.003, 0.01, 0.03, 0.05])
+def test_codes_in_groups_of_near_copies(noise):
+    rng = np.random.default_rng(int(noise * 1000))
+    x = rng.standard_normal((4000, 64))
+    x[::3] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] += noise * rng.standard_normal((len(x[::3]), 64))
+    for queries in (range(0, 4000, 96), range(1, 4000, 96)):
+        recall, share = searched(x, queries)
+        assert recall >= 0.95 and share < 0.35
+
+
 def test_codes_narrow_down_small_blocks_too(spark):
     x = clustered(2000)
     codes = ann.Codebook(x)
