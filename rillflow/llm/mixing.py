@@ -14,9 +14,9 @@ hex digits of the draw; running sums are taken over bucket sums, and only the bu
 ordered by rows. A leaf with a third of all documents is thus spread over 256 keys, and no join has the leaf as its key.
 
 Defined results: null group values are groups of their own (named by ``NONE``); a null or blank text counts no tokens and
-is taken where its position is within the prefix; rows without doc_id draw on an empty string; repeated rows count each,
-ordered by a hash of the row among equal draws; an empty table or a budget of zero gives no rows; other columns stay as they
-are, whatever their names; a text of any length is counted whole.
+is taken where its position is within the prefix; rows without doc_id draw on their text's digest; repeated rows are one row
+with a number while the mix chooses, and count each; equal draws are ordered by a hash of the row; an empty table or a budget
+of zero gives no rows; other columns stay as they are, whatever their names; a text of any length is counted whole.
 """
 
 from __future__ import annotations
@@ -52,9 +52,14 @@ def weight_of(column: Column, weights: dict[str, int]) -> Column:
     return reduce(lambda rest, kv: F.when(column == kv[0], kv[1]).otherwise(rest), weights.items(), F.lit(1)).cast("long")
 
 
-def draw(seed: int, epoch: Column, doc_id: Column) -> Column:
+def draw(seed: int, epoch: Column, name: Column) -> Column:
     """The key that orders a document within an epoch."""
-    return F.md5(F.concat(F.lit(f"{seed}-"), epoch.cast("string"), F.lit("-"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}-"), epoch.cast("string"), F.lit("-"), name))
+
+
+def _name(doc_id: Column, text: Column) -> Column:
+    """What a document draws on: its doc_id, else its text."""
+    return F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[dict[str, int]], share: tuple[int, int], max_epochs: int) -> DataFrame:
@@ -83,20 +88,33 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[dict[str
 
 
 def mix(keyed: DataFrame, levels: Sequence[str], weights: Sequence[dict[str, int]], share: tuple[int, int] = BUDGET_SHARE, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The chosen rows of ``keyed`` (doc_id, row, copy, levels, n) with epoch and budget: one for each epoch that takes the row."""
+    """The chosen rows of ``keyed`` (doc_id, name, row, levels, n, times) with epoch, budget and taken, how many of the ``times`` equal rows an epoch takes."""
     keyed = materialize(keyed.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c in levels}), "mixing-keys")
-    leaves = materialize(keyed.groupBy(*levels).agg(F.sum("n").alias("tokens")), "mixing-leaves")
+    leaves = materialize(keyed.groupBy(*levels).agg(F.sum(F.col("n") * F.col("times")).alias("tokens")), "mixing-leaves")
     tree = budgets(leaves, levels, weights, share, max_epochs).where("budget > 0")
-    rows = keyed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("draw", draw(seed, F.col("epoch"), F.col("doc_id")))
-    rows = rows.withColumn("bucket", F.substring("draw", 1, 2))
+    rows = keyed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("draw", draw(seed, F.col("epoch"), F.col("name")))
+    rows = rows.withColumns({"bucket": F.substring("draw", 1, 2), "all_n": F.col("n") * F.col("times")})
     keys = [*levels, "epoch", "bucket"]
     so_far = F.sum("bucket_n").over(W.partitionBy(*levels).orderBy("epoch", "bucket").rowsBetween(W.unboundedPreceding, -1))
-    starts = rows.groupBy(*keys).agg(F.sum("n").alias("bucket_n")).join(tree, list(levels)).withColumn("start", F.coalesce(so_far, F.lit(0)))
+    starts = rows.groupBy(*keys).agg(F.sum("all_n").alias("bucket_n")).join(tree, list(levels)).withColumn("start", F.coalesce(so_far, F.lit(0)))
     got = rows.join(materialize(starts.where("start < budget"), "mixing-starts"), keys)
-    order = W.partitionBy(*keys).orderBy("draw", "row", "copy").rowsBetween(W.unboundedPreceding, -1)
-    cut = got.where("start + bucket_n >= budget").withColumn("start", F.col("start") + F.coalesce(F.sum("n").over(order), F.lit(0)))
-    columns = ["doc_id", "row", "copy", *levels, "epoch", "n", "budget"]
-    return got.where("start + bucket_n < budget").select(columns).unionByName(cut.where("start < budget").select(columns))
+    order = W.partitionBy(*keys).orderBy("draw", "row").rowsBetween(W.unboundedPreceding, -1)
+    cut = got.where("start + bucket_n >= budget").withColumn("start", F.col("start") + F.coalesce(F.sum("all_n").over(order), F.lit(0)))
+    # of equal rows those are taken that begin before the budget is used up
+    within = F.expr("if(n = 0, times, least(times, (budget - start + n - 1) div n))")
+    columns = ["doc_id", "name", "row", *levels, "epoch", "n", "budget"]
+    whole = got.where("start + bucket_n < budget").select(*columns, F.col("times").alias("taken"))
+    return whole.unionByName(cut.where("start < budget").select(*columns, within.alias("taken")))
+
+
+#: Copies of a row that one array stands for.
+COPIES = 10_000
+
+
+def _repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as ``times`` says."""
+    parts = rows.withColumn("part__", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {COPIES}"))))
+    return parts.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"least({COPIES}, {times} - part__ * {COPIES})")))).drop("part__", "copy__", times)
 
 
 def _domain(source: Column) -> Column:
@@ -110,24 +128,29 @@ def _row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def chosen(docs: DataFrame) -> DataFrame:
-    """The production mix of documents: (doc_id, row, copy, domain, lang, source, epoch, n, budget)."""
-    narrow = docs.select("doc_id", _row_hash(docs).alias("row"), _domain(F.col("source")).alias("domain"), "lang", "source", n_words(F.col("text")).alias("n"))
-    narrow = narrow.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "row").orderBy(F.lit(0))))
+def _picks(docs: DataFrame) -> DataFrame:
+    name = _name(F.col("doc_id"), F.col("text")).alias("name")
+    narrow = docs.select("doc_id", name, _row_hash(docs).alias("row"), _domain(F.col("source")).alias("domain"), "lang", "source", n_words(F.col("text")).alias("n"))
+    narrow = narrow.groupBy(*narrow.columns).agg(F.count("*").alias("times"))
     return mix(narrow, ["domain", "lang", "source"], [DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS])
 
 
+def chosen(docs: DataFrame) -> DataFrame:
+    """The production mix of documents: (doc_id, row, domain, lang, source, epoch, n, budget), a row for each time that one is taken."""
+    return _repeated(_picks(docs).drop("name"), "taken")
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the production mix takes, once for each epoch that takes them.
 
-    Equal rows are told apart only by number while the mix chooses; here they are one row, taken as often as all of them
-    together. They are combined before the shuffle, which the join then shares: texts move once.
+    Equal rows are one row here, taken as often as all of them together. They are combined before the shuffle, which the join
+    then shares: texts move once.
     """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
-    picks = chosen(docs).groupBy(name, "row").agg(F.count("*").cast("int").alias("times"))
+    picks = _picks(docs).groupBy("name", "row").agg(F.sum("taken").alias("times"))
     whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("whole")
+    name = _name(F.col("doc_id"), F.col("text")).alias("name")
     rows = docs.select(name, _row_hash(docs).alias("row"), whole).groupBy("name", "row").agg(F.first("whole").alias("whole"))
-    taken = rows.join(picks, ["name", "row"]).select("whole", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    taken = _repeated(rows.join(picks, ["name", "row"]).select("whole", "times"), "times")
     return taken.select(*[F.col(f"whole.`{c}`") for c in docs.columns])
 
 
@@ -159,10 +182,10 @@ def mixing_sql() -> str:
     tree = ",".join(_level(i, levels, weights[i], f"b{i - 1}") for i in range(3))
     names = "[" + ", ".join(f"'{d}'" for d in DOMAINS) + "]"
     return f"""
-with docs as (select doc_id, coalesce(lang, '{NONE}') as lang, coalesce(source, '{NONE}') as source,
+with docs as (select doc_id, coalesce(doc_id::varchar, md5(coalesce(text, ''))) as name, coalesce(lang, '{NONE}') as lang, coalesce(source, '{NONE}') as source,
   {names}[(coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) as bigint), 0) % {len(DOMAINS)} + 1)::int] as domain,
   len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::bigint as n from documents),{tree},
-reads as (select docs.*, e.epoch, md5('{SEED}-' || e.epoch || '-' || coalesce(doc_id::varchar, '')) as draw from docs, (select unnest(range(0, {MAX_EPOCHS})) as epoch) e),
+reads as (select docs.*, e.epoch, md5('{SEED}-' || e.epoch || '-' || name) as draw from docs, (select unnest(range(0, {MAX_EPOCHS})) as epoch) e),
 ordered as (select *, coalesce(sum(n) over (partition by domain, lang, source order by epoch, draw rows between unbounded preceding and 1 preceding), 0) as start from reads)
 select doc_id, domain, lang, source, epoch::bigint as epoch, n as n_tokens, b as leaf_budget from ordered join b2 using (domain, lang, source) where b > 0 and start < b
 """
