@@ -17,7 +17,8 @@ links' number and its least companion), never the pairs, so groups of thousands
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without label or vec_id link
 with nothing and are components of their own; vectors of different length never link; repeated rows are linked copies; a
-row is kept if its vec_id is its component_id (repeated rows alike); an empty table gives an empty result.
+row is kept if its vec_id is its component_id (repeated rows alike); an empty table gives an empty result; further columns
+are not read, whatever they are called.
 """
 
 from __future__ import annotations

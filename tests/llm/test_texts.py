@@ -223,3 +223,12 @@ def test_toxicity_held_out_accuracy(spark):
     scored = toxicity.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     n = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
     assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.8 and n[1, 1] / (n[1, 1] + n[1, 0]) > 0.75
+
+
+def test_token_counts_of_a_long_text_beside_clashing_columns(spark):
+    text = "\n".join(f"line {i} " + "ñandú déjà-vu 日本語 x" * (i % 40) for i in range(4000))
+    docs = spark.createDataFrame([(1, text, "?", 3, "?"), (2, "a\nb", "?", 3, "?")], "doc_id long, text string, section string, n_tokens int, n_chars string")
+    got = tokencounts.attribute(docs).where("doc_id = 1").orderBy("section").collect()
+    assert len(text) > 1_000_000 and [r["n_chars"] for r in got] == [len(x) + 1 for x in text.split("\n")][:-1] + [len(text.split("\n")[-1])]
+    coder = ByteBPE(P.path(tokencounts.RANKS), P.PATTERN)
+    assert sum(r["n_tokens"] for r in got) == len(coder.encode([text])[0]) and tokencounts.attribute(docs).columns == ["doc_id", "section", "n_chars", "n_tokens", "n_crossing"]

@@ -184,3 +184,41 @@ def test_few_pairs_are_verified():
     # without lines every pair is verified
     passed = sum(len(i) for i, _ in collisions.linked(x, x, -1.0, lines[:0], True, 0))
     assert passed == 1500 * 1499 // 2
+
+
+def test_the_query_finds_every_planted_link(spark, tmp_path):
+    """20,000 rows in ten labels, a third of them in one: pairs, groups at the limit, and 1,500 copies of one vector."""
+    rng = np.random.default_rng(21)
+    n = 20_000
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((n, 64)))
+    label = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 10, n))
+    for k in range(600):
+        mine = rng.choice(n, int(rng.integers(2, 12)), replace=False)
+        aside = rng.standard_normal((len(mine), 64))
+        aside = unit(aside - (aside @ x[mine[0]])[:, None] * x[mine[0]])
+        cosine = rng.uniform(0.9301, 0.9999, (len(mine), 1))
+        x[mine] = cosine * x[mine[0]] + np.sqrt(1 - cosine**2) * aside
+        label[mine] = label[mine[0]]
+    x[rng.choice(n, 1500, replace=False)] = x[7]
+    rows = spark.createDataFrame([(i, v.tolist(), int(c), "?") for i, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int, n_links string")
+    rows.repartition(6).write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = unit(x.astype(np.float32).astype(np.float64))
+    links, pairs, close = np.zeros(n, np.int64), [], 0
+    for c in range(10):
+        at = np.flatnonzero(label == c)
+        for s in range(0, len(at), 1000):
+            cosines = x[at[s : s + 1000]] @ x[at].T
+            i, j = np.nonzero(cosines >= collisions.COSINE)
+            links[at[s : s + 1000]] = np.bincount(i, minlength=len(at[s : s + 1000])) - 1
+            # a row's least partner and its own links, but of large groups only the first, hold all components together
+            first = np.unique(i, return_index=True)[1]
+            small = links[at[s + i]] < 200
+            keep = np.union1d(np.flatnonzero(small), first)
+            pairs += zip(at[s + i[keep]].tolist(), at[j[keep]].tolist(), strict=True)
+            close += int((np.abs(cosines - collisions.COSINE) < 1e-12).sum())
+    assert close == 0 and (links > 0).sum() > 3000
+    groups = components(list(range(n)), pairs)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in collisions.op9_embedding_near_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i][0] for i in range(n)] == links.tolist()
+    assert [got[i][1] for i in range(n)] == [groups[i] for i in range(n)]
