@@ -119,9 +119,9 @@ def centroid(spark, sf_dir):
 
 def threshold_percentile(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    scores = sc.scored(v, sc.centroid(v, DIM))
-    p95, p99 = sc.threshold(scores, 0.95).select(F.lit(95).cast("long").alias("p"), "delta"), sc.threshold(scores, 0.99).select(F.lit(99).cast("long").alias("p"), "delta")
-    return p95.unionByName(p99).select("p", rounded(F.col("delta"), 6).alias("delta"))
+    both = sc.scored(v, sc.centroid(v, DIM)).agg(F.percentile("score", [0.95, 0.99]).alias("deltas"))
+    rows = both.select(F.inline(F.arrays_zip(F.array(*[F.lit(p).cast("long") for p in (95, 99)]).alias("p"), F.col("deltas").alias("delta"))))
+    return rows.select("p", rounded(F.col("delta"), 6).alias("delta"))
 
 
 def fit_scaler(spark, sf_dir):

@@ -13,10 +13,10 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from rillflow.operators import baseline as bl
 from rillflow.operators import scoring as sc
-from rillflow.operators.decisions import anomalies
+from rillflow.operators.decisions import anomalies, decision_records
 from rillflow.operators.encoders import Network, encode_mlp
 from rillflow.operators.flows import KEY, close_us, keyed
-from rillflow.functions.packets import part_of_flow_id
+from rillflow.functions.packets import flow_id, part_of_flow_id
 from rillflow.schema import DECISION
 from rillflow.sources.packets import transport_only
 from rillflow.sources.scratch import exists, remove, written
@@ -134,8 +134,9 @@ def score_flows(tracked: DataFrame, scaler: DataFrame, base: DataFrame, path: st
     """From tracked flows to decisions and counts per window, in one query over all that is there.
 
     Each trigger's flows are standardised, encoded (or only brought to length 1), classified against ``base`` (mu, delta) and
-    appended under ``path``/decisions; their numbers per window of closing go to ``path``/counts, to be added up by
-    ``window_counts``. A trigger that is run again replaces its own folders. With ``every`` a trigger starts by the clock.
+    appended under ``path``/decisions, and as JSON Lines with the features that stand out under ``path``/records; their numbers
+    per window of closing go to ``path``/counts, to be added up by ``window_counts``. A trigger that is run again replaces its
+    own folders. With ``every`` a trigger starts by the clock.
     """
 
     def one(batch: DataFrame, number: int) -> None:
@@ -144,6 +145,7 @@ def score_flows(tracked: DataFrame, scaler: DataFrame, base: DataFrame, path: st
         out = f"{path}/decisions/batch={number}"
         sc.classified(sc.scored(vectors, base.select("mu")), base.select("delta")).drop("v").write.mode("overwrite").parquet(out)
         done = batch.sparkSession.read.parquet(out)
+        decision_records(done.withColumn("flow_id", flow_id())).write.mode("overwrite").json(f"{path}/records/batch={number}")
         each = done.select("close_us", "is_anomaly", F.explode(F.array(*[F.lit(w).cast("long") for w in widths])).alias("width"))
         counts = each.groupBy("width", F.expr("(close_us div width - if(close_us % width < 0, 1, 0)) * width").alias("window_start_us")).agg(F.count("*").alias("flows"), F.count_if("is_anomaly").alias("anomalies"))
         counts.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
@@ -211,7 +213,9 @@ def adapt_batches(vectors: DataFrame, first: DataFrame, path: str, dim: int, alp
     vectors.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Anomalies of the decision files that appear in a folder."""
+def alerts(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """Anomalies of the decision files that appear in a folder; with ``since`` (a timestamp) only of files written from then on."""
     records = spark.readStream.schema(DECISION).option("mode", "DROPMALFORMED").json(path)
+    if since is not None:
+        records = records.where(F.col("_metadata.file_modification_time") >= F.lit(since).cast("timestamp"))
     return anomalies(records).select("ts", "flow_id", part_of_flow_id(F.col("flow_id"), 1).alias("hi_ip"), part_of_flow_id(F.col("flow_id"), 3).alias("hi_port"), "score")

@@ -1,7 +1,10 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillflow.operators import decisions as dc
 from rillflow.operators import encoders
 from rillflow.operators import flows as fl
 from rillflow.operators import scoring as sc
@@ -32,6 +35,28 @@ def test_encoded_and_scored_in_the_stream_as_in_the_batch(spark, tmp_path, every
         got = jobs.window_counts(spark, path).where(F.col("width") == width).drop("width").collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(r["anomalies"] for r in got) > 3
     assert len(spark.read.parquet(f"{path}/decisions").select("batch").distinct().collect()) > 1
+    records = dc.read_decisions(spark, f"{path}/records/*")
+    want = dc.decision_records(batch).orderBy("flow_id", "ts").collect()
+    got = records.orderBy("flow_id", "ts").collect()
+    assert [(r["flow_id"], r["ts"], r["is_anomaly"], r["packet_count"], r["duration_s"]) for r in got] == [(r["flow_id"], r["ts"], r["is_anomaly"], r["packet_count"], r["duration_s"]) for r in want]
+    assert all(len(r["top_features"]) == 5 for r in got)
+
+
+def test_alerts_from_now_on(spark, tmp_path):
+    folder = str(tmp_path / "records")
+    one = lambda i, odd: spark.createDataFrame([(float(i), f"a-b-{i}-2-6", 0.5, 0.4, odd, 2, 1.0)], "ts double, flow_id string, score double, delta_effective double, is_anomaly boolean, packet_count long, duration_s double")
+    for i in range(3):
+        dc.write_decisions(one(i, True), folder)
+    time.sleep(1.1)
+    now = spark.sql("select cast(current_timestamp() as string)").first()[0]
+    time.sleep(0.1)
+    for i in range(3, 7):
+        dc.write_decisions(one(i, i != 4), folder)
+    got = {}
+    for name, since in (("all", None), ("new", now)):
+        jobs.to_files(jobs.alerts(spark, folder, since), str(tmp_path / name))
+        got[name] = sorted(r["ts"] for r in spark.read.parquet(str(tmp_path / name)).collect())
+    assert got == {"all": [0, 1, 2, 3, 5, 6], "new": [3, 5, 6]}
 
 
 def test_a_growing_log_of_baselines(spark, tmp_path):
