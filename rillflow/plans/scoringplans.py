@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,6 +171,22 @@ def encode_mlp(spark, sf_dir):
     return encoders.encode_mlp(sc.scaled(flows, sc.fit_scaler(flows)), encoders.Network.seeded()).select(*FLOW_NAME, "v")
 
 
+#: A network of fixed weights, by rule: that of input j for output i of a layer (both from 1), and the outputs' offset.
+SMALL = (20, 8, 4)
+
+
+def _weight(i: int, j: int) -> float:
+    return ((i * 7 + j * 3) % 11 - 5) / 10
+
+
+def encode_mlp_fixed(spark, sf_dir):
+    """The number of the greatest output of a small network on the standardised flows."""
+    layers = [(np.array([[_weight(i, j) for j in range(1, a + 1)] for i in range(1, b + 1)]), np.full(b, 0.1)) for a, b in zip(SMALL, SMALL[1:], strict=False)]
+    flows = _flows(spark, sf_dir)
+    coded = encoders.encode_mlp(sc.scaled(flows, sc.fit_scaler(flows)), encoders.Network(layers))
+    return coded.select(*FLOW_NAME, F.array_position("v", F.array_max("v")).alias("greatest"))
+
+
 def _update(spark, sf_dir, alpha):
     got = _scored(spark, sf_dir)
     v = _vectors(spark, sf_dir)
@@ -382,7 +399,7 @@ def explode_state(spark, sf_dir):
 
 
 _NAMES = ["score_against_baseline", "baseline_versions", "baseline_drift", "baseline_audit", "update_audit_stats", "score_asof_baseline", "score_asof_sensor_baseline", "load_baseline", "centroid", "threshold_percentile", "fit_scaler", "scale_features", "l2_normalize"]
-_NAMES += ["anomaly_score", "classify", "effective_delta", "clearly_normal", "predict_batch", "encode_mlp", "update_baseline_replace", "update_baseline_ema", "replay_baseline", "replay_sensors", "replay_flows", "recalibrate", "validate_baseline", "flow_store", "score_sketches"]
+_NAMES += ["anomaly_score", "classify", "effective_delta", "clearly_normal", "predict_batch", "encode_mlp", "encode_mlp_fixed", "update_baseline_replace", "update_baseline_ema", "replay_baseline", "replay_sensors", "replay_flows", "recalibrate", "validate_baseline", "flow_store", "score_sketches"]
 _NAMES += ["decision_records", "write_decisions", "read_decisions", "filter_anomalies", "alert_rows", "top_features", "top_deviations", "top_scores", "summary_60s", "write_summary", "throughput_1s", "anomaly_rate_cumulative", "active_flows", "snapshot_deltas", "recent_scores", "recent_scores_per_protocol", "explode_state", "load_model"]
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -446,6 +463,12 @@ _RECORD = "end_us / 1e6 as ts, flow_id, is_anomaly::int as is_anomaly, packet_co
 _LAST = f"select * from scored order by end_us desc, {_NAME} limit 200"
 
 
+def _layer(x: str, a: int, b: int, relu: bool) -> str:
+    """A layer of the small network in list arithmetic."""
+    sums = f"0.1 + list_sum(list_transform(range(1, {a + 1}), lambda j: {x}[j] * (((i * 7 + j * 3) % 11 - 5) / 10.0::double)))"
+    return f"list_transform(range(1, {b + 1}), lambda i: {f'greatest({sums}, 0.0)' if relu else sums})"
+
+
 def _top(values: str, n: int, out: str) -> str:
     """Rows of the n greatest of a list of numbers, ties by place."""
     names = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
@@ -472,6 +495,7 @@ SQL = {
     "effective_delta": f"{EMB} select {s.rnd('delta * 0.98', 6)} as delta_effective, count(*) filter (where score > delta * 0.98) as anomalies from classed group by 1",
     "clearly_normal": f"{EMB} select vec_id from classed where not is_anomaly and score < 0.97 * delta",
     "predict_batch": f"{s.SCORED} select {_NAME}, {s.rnd('score')} as score, {s.rnd('delta')} as delta, is_anomaly::int as is_anomaly from scored",
+    "encode_mlp_fixed": f"{s.EMBEDDED}, hidden as (select *, {_layer('z', SMALL[0], SMALL[1], True)} as h from scaled), coded as (select *, {_layer('h', SMALL[1], SMALL[2], False)} as o from hidden) select {_NAME}, list_position(o, list_max(o))::bigint as greatest from coded",
     "update_baseline_replace": f"{_UPDATED}, u as (select n_used, new as mu from normal) {_unnested('u', 'mu', 'n_used')}",
     "update_baseline_ema": f"{_UPDATED}, u as (select n_used, list_transform(range(1, {DIM + 1}), lambda i: mu[i] * 0.99::double + new[i] * (1 - 0.99::double)) as mu from normal, old) {_unnested('u', 'mu', 'n_used')}",
     "replay_baseline": replayed(EMB + ", one as (select *, 0 as sensor from vecs)", "one", "select 0 as sensor, mu, delta from center, t", "sensor", "vec_id // 100", DIM, 0.9, 0.97),

@@ -169,9 +169,10 @@ def _score_stream(spark: SparkSession, sf_dir: str) -> str:
     base = scratch_path(spark, "base")
     mu.crossJoin(F.broadcast(sc.threshold(sc.scored(vectors, mu)))).write.parquet(base)
     folder = scratch_path(spark, "flow-stream")
-    flows.repartition(8).write.parquet(folder)
+    # two triggers
+    flows.repartition(2 * _files(spark)).write.parquet(folder)
     path = scratch_path(spark, "scores")
-    stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", _files(spark)).parquet(folder)
     jobs.score_batches(stream, scaler, spark.read.parquet(base), path)
     return path
 
@@ -181,6 +182,12 @@ def stream_scores(spark, sf_dir):
     return got.select("flow_id", "seg", "chunk", rounded(F.col("score")).alias("score"), rounded(F.col("delta")).alias("delta"), F.col("is_anomaly").cast("int").alias("is_anomaly"))
 
 
+def batch_sizes(spark, sf_dir):
+    """How many batches the two triggers made, and of how many flows."""
+    got = spark.read.parquet(f"{_score_stream(spark, sf_dir)}/metrics")
+    return got.agg(F.count("*").alias("batches"), F.sum("n_rows").alias("n_rows"), F.avg("n_rows").alias("mean_size"))
+
+
 def batch_metrics(spark, sf_dir):
     got = spark.read.parquet(f"{_score_stream(spark, sf_dir)}/metrics")
     return got.agg(F.count("*").alias("batches"), F.sum("n_rows").alias("n_rows"), F.avg("n_rows").alias("mean_size"), F.avg("duration_ms").alias("mean_ms"), F.percentile_approx("duration_ms", 0.95).alias("p95_ms"))
@@ -225,7 +232,7 @@ def stream_alerts(spark, sf_dir):
     return spark.read.parquet(path).select("flow_id", "hi_ip", "hi_port", rounded(F.col("score")).alias("score"))
 
 
-_ALL = (stream_packets, stream_flows, stream_resumed_flows, stream_discards, stream_session_flows, stream_summary, stream_scores, batch_metrics, stream_scored_windows, stream_adaptive, stream_alerts)
+_ALL = (stream_packets, stream_flows, stream_resumed_flows, stream_discards, stream_session_flows, stream_summary, stream_scores, batch_sizes, batch_metrics, stream_scored_windows, stream_adaptive, stream_alerts)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -242,6 +249,7 @@ select 'not_ipv4' as reason, count(*) filter (where six) as n from v union all s
   union all select 'short_flows', count(*) filter (where packet_count < 2) from every_flow""",
         "stream_session_flows": packetplans.SQL["flows_idle_timeout"],
         "stream_summary": f"{s.SCORED}, p as (select (ts_us // 60000000 * 60000000)::bigint as window_start_us, count(*) as packets, sum(pkt_len)::bigint as bytes from packets group by 1), f as (select ({s.CLOSE} // 60000000 * 60000000)::bigint as window_start_us, count(*) as flows, count(*) filter (where is_anomaly) as anomalies from scored group by 1) select window_start_us, coalesce(packets, 0) as packets, coalesce(bytes, 0) as bytes, coalesce(flows, 0) as flows, coalesce(anomalies, 0) as anomalies from p full join f using (window_start_us)",
+        "batch_sizes": f"{s.FLOWS} select 2::bigint as batches, count(*) as n_rows, count(*) / 2.0::double as mean_size from flows",
         "stream_scores": scoringplans.SQL["predict_batch"],
         "stream_scored_windows": f"{s.SCORED}, w as (select {s.CLOSE} as close_us, is_anomaly, unnest([1000000, 60000000])::bigint as width from scored) select width, (close_us // width * width)::bigint as window_start_us, count(*) as flows, count(*) filter (where is_anomaly) as anomalies from w group by all",
         "stream_adaptive": scoringplans.replayed(scoringplans.EMB + ", one as (select *, 0 as sensor, (vec_id * 5 // (select max(vec_id) + 1 from vecs))::bigint as fifth from vecs)", "one", "select 0 as sensor, mu, delta from center, t", "sensor", "fifth", DIM, 0.99, 0.97, f"step as version, used as n_used, {s.rnd('delta', 6)} as delta, {s.rnd('list_sum(list_transform(mu, lambda x: x * x))', 6)} as mu_norm2"),
