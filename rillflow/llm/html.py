@@ -66,8 +66,8 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search form d
 #: Class and id names of adverts, notices and readers' comments, alone or with one of the endings.
 CUT_NAMES = frozenset("ad ads advert advertisement advertising sponsored promo cookie cookies consent notice newsletter sidebar breadcrumb breadcrumbs comment comments commentlist replies disqus".split())
 ENDINGS = frozenset("area banner bar block box consent container form list modal notice overlay popup section signup slot thread unit widget wrapper".split())
-#: So many times the rest of the page's text, a part is the page and not an advert, a form or a comment.
-HOLDS = 20
+#: So many times the rest of the page's text, and so many characters, a part is the page and not an advert, a form or a comment.
+HOLDS, LEAST = 20, 100
 _TAG = r"<(/?)([a-zA-Z][^\s/>]*)"
 _OPEN = re.compile(_TAG)
 _SPECIAL = re.compile("[>\"']")
@@ -224,8 +224,8 @@ def settle(root: Node) -> None:
     """Decide on the doubtful nodes: forms, parts named like adverts or comments, articles inside articles.
 
     An article inside another is a reader's comment unless such articles are on average longer than what the outer one has
-    beside them. A doubtful node is cut off unless it has ``HOLDS`` times the text that stands outside of all that are, or the
-    page's first heading or main part: then it is no such part but what the page's text stands in. The largest are asked first.
+    beside them. A doubtful node is cut off unless it has more than ``LEAST`` characters and ``HOLDS`` times the text that stands
+    outside of all that are, or the page's first heading or main part: then it is no such part but what the page's text stands in. The largest are asked first.
     """
     order, todo = [], [root]
     while todo:
@@ -258,7 +258,7 @@ def settle(root: Node) -> None:
 
     hold(next((n for n in order if n.tag in ("h1", "main")), None))
     for n in sorted((n for n in order if n.doubtful), key=lambda n: -own[n]):
-        if own[n] > HOLDS * outside:
+        if own[n] > max(HOLDS * outside, LEAST):
             hold(n)
     for n in order:
         n.cut = n.doubtful and n not in held
