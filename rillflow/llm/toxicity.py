@@ -7,18 +7,21 @@ span. Marks don't count, so "i.d.i.o.t" is the same span again. The kernel is di
 
 Model: landmarks are the words that the labelled sample's toxic and clean documents tell apart, and the clean words that a
 first model takes for toxic. A span's vector holds its kernel values to the landmarks, whitened by the landmarks' own
-kernel matrix (Nyström). The support vector machine is trained on the spans of labelled sentences: of a toxic document the
-one most toxic by the model so far and the words that are certain by their counts (with a letter put in at each place, too),
-of a clean one its worst few; this is repeated ``ROUNDS`` times. Since the vector is
-linear in the triples' weights, the trained model folds into one table of a weight per triple, and scoring a text is a
-lookup for each triple of its characters: whole texts, in numpy, with no loop over words. A document's value is that of
-its worst span, turned into a probability by a logistic fit on the training documents.
+kernel matrix (Nyström). The support vector machine is trained on labelled sentences: texts are cut at line ends and at
+marks before a blank, and a sentence stands for itself by its span that is most toxic by the model so far. A document's
+label says that some sentence of it is toxic, or that none is: of a toxic document the worst sentence is learnt from, and
+those further ones of its worst few that the machine takes for toxic by then; of a clean one its worst few. Words that are
+certain by their counts are further toxic rows, once each and with a letter put in at each place. This is repeated
+``ROUNDS`` times. Since the vector is linear in the triples' weights, the trained model folds into one table of a weight
+per triple, and scoring a text is a lookup for each triple of its characters: whole texts, in numpy, with no loop over
+words. A document's value is that of its worst span, turned into a probability by a logistic fit on the training documents.
 
 Bounds: at most ``SAMPLE`` toxic and ``SAMPLE`` clean labelled rows are learnt from, chosen by crc32 order. The first
-landmarks are the ``LANDMARKS // 2`` toxic words of greatest excess and the ``LANDMARKS // 4`` commonest clean ones, of 3 to 24
-letters (``WORD_LETTERS``); those added later are clean spans, at most ``LANDMARKS // 4`` in each of two rounds. Toxic words beyond these count
-only by the triples that they share with landmarks. Spans learnt from are cut to ``SPAN_CHARS``
-characters. Scoring has no bound: every triple of every whole text counts. Only text is scored.
+landmarks are the ``LANDMARKS // 2`` toxic words of greatest excess and the ``LANDMARKS // 4`` commonest clean ones, of 3
+to 24 letters (``WORD_LETTERS``); those added later are clean spans, at most ``LANDMARKS // 4`` in each of two rounds.
+Toxic words beyond these count only by the triples that they share with landmarks. Spans learnt from are cut to
+``SPAN_CHARS`` characters, and of a document at most its ``WORST`` worst sentences are learnt from in a round. Scoring has
+no bound: every triple of every whole text counts. Only text is scored.
 
 Defined results: null and empty texts have no span and get the score of the logistic fit's floor; without labels of both
 kinds every score is the share of toxic labels (0 if none); rows without doc_id are scored and are not held out; repeated
@@ -46,10 +49,11 @@ ROUNDS = 3
 WORST = 4
 FLOOR = -3.0
 CERTAIN = 5.0
-REPEATS = 10
 #: Bounds of what is learnt from, never of what is scored: characters of a span, and letters of a first landmark.
 SPAN_CHARS = 64
 WORD_LETTERS = (3, 24)
+#: Marks that end a sentence before a blank.
+ENDS = ".!?;:\u2026\u3002\uff01\uff1f"
 _SIZE, _BLANK = 64, 63
 _SLICE = 1 << 18
 
@@ -123,11 +127,28 @@ def span_values(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.n
     return value[full] / np.sqrt(weight[full]), first + 1, last, np.searchsorted(starts, first, "right") - 1
 
 
-def worst_spans(texts: list[str], weights: np.ndarray, n: int) -> list[list[tuple[str, float]]]:
-    """The ``n`` distinct spans of highest value of each text."""
+def sentence_ends(texts: list[str]) -> np.ndarray:
+    """Where sentences end in the joined texts of ``classes``: at line ends, and at marks of ``ENDS`` before a blank."""
+    points = np.frombuffer("".join(f"  {t}" for t in texts).encode("utf-32-le", "replace") + "  ".encode("utf-32-le"), np.uint32)
+    blank = _classes()[np.minimum(points, 0xFFFF)] == _BLANK
+    mark = np.isin(points[:-1], np.frombuffer(ENDS.encode("utf-32-le"), np.uint32))
+    return np.flatnonzero((mark & blank[1:]) | (points[:-1] == 10))
+
+
+def worst_spans(texts: list[str], weights: np.ndarray, n: int, by_sentence: bool = False) -> list[list[tuple[str, float]]]:
+    """The ``n`` distinct spans of highest value of each text, highest first; with ``by_sentence`` only the highest of each sentence.
+
+    A span that runs over a sentence's end belongs to the sentence that it begins in.
+    """
     value, first, last, of = span_values(texts, weights)
     starts = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
     order = np.lexsort((first, -value, of))
+    if by_sentence and len(order):
+        # texts are set apart by blanks, so that a sentence ends no later than its text does if the text's number counts too
+        sentence = np.searchsorted(sentence_ends(texts), first) + of
+        order = order[np.argsort(sentence[order], kind="stable")]
+        order = order[np.concatenate([[True], np.diff(sentence[order]) != 0])]
+        order = order[np.lexsort((first[order], -value[order], of[order]))]
     edge = np.searchsorted(of[order], np.arange(len(texts) + 1))
     out = []
     for t, text in enumerate(texts):
@@ -258,14 +279,14 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def _scored(sample: DataFrame, weights: np.ndarray, n: int) -> list:
-    """(toxic, spans, values) of each sample row, with its ``n`` worst spans."""
+    """(toxic, spans, values) of each sample row, with the worst spans of its ``n`` worst sentences."""
     shipped = sample.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = 0
             for texts in slices(b.column("text")):
-                got = worst_spans(texts, shipped.value, n)
+                got = worst_spans(texts, shipped.value, n, by_sentence=True)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("toxic").slice(done, len(texts)), pa.array([[s for s, _ in g] for g in got], pa.list_(pa.string())), pa.array([[v for _, v in g] for g in got], pa.list_(pa.float64()))], names=["toxic", "spans", "values"]
                 )
@@ -315,12 +336,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, landmarks
             worst = sorted(((v, s) for r in rows if not r["toxic"] for s, v in zip(r["spans"], r["values"], strict=True)), reverse=True)
             words = list(dict.fromkeys([*words, *dict.fromkeys(s for _, s in worst[: 8 * landmarks])]))[: len(words) + landmarks // 4]
         mark = Landmarks(words)
-        positive = [r["spans"][0] for r in rows if r["toxic"] and r["spans"]]
+        # of a toxic document its worst sentence, and every further one that the machine so far takes for toxic
+        toxic = [(s, v, i) for r in rows if r["toxic"] for i, (s, v) in enumerate(zip(r["spans"], r["values"], strict=True))]
+        positive = [s for s, v, i in toxic if i == 0 or (k and v + offset > 0)]
         known_clean = set(negative)
         positive = [s for s in positive if s not in known_clean] or positive
-        # words that toxic sentences hold far beyond chance count too where a worse one stands beside them
+        # words that toxic sentences hold far beyond chance count once more, and with a letter put in
         certain = [w for w, z in bad if z > CERTAIN and w not in known_clean]
-        positive += [w for w in certain for _ in range(REPEATS)] + [v for w in certain for v in with_insertions(w)]
+        positive += certain + [v for w in certain for v in with_insertions(w)]
         x = [*positive, *negative]
         y = np.array([1] * len(positive) + [0] * len(negative))
         unique, back, count = np.unique(np.array(x, object), return_inverse=True, return_counts=True)

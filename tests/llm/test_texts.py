@@ -218,11 +218,24 @@ def test_worst_spans_look_at_all_spans():
     assert [s for s, _ in toxicity.worst_spans([text, "", "x"], weights, 2)[0]] == ["bad", "worse"]
 
 
+def test_sentences_stand_by_their_worst_spans():
+    weights = np.zeros(64**3, np.float32)
+    for word, weight in (("bad", 1), ("ors", 0.5), ("mid", 0.2)):
+        a, b, c = (ord(x) - 96 for x in word)
+        weights[a << 12 | b << 6 | c] = weight
+    texts = ["bad worse. mid one! worse", "", "worse\nmid", "a.b worse v1.5 mid", "bad mid. mid bad mid"]
+    got = [[s for s, _ in x] for x in toxicity.worst_spans(texts, weights, 4, by_sentence=True)]
+    assert got[0] == ["bad", "worse", "mid"] and got[1] == [] and got[2] == ["worse", "mid"] and got[3] == ["worse"] and got[4] == ["bad"]
+    assert [s for s, _ in toxicity.worst_spans(texts, weights, 1, by_sentence=True)[0]] == ["bad"]
+    together = toxicity.worst_spans(["worse", "bad"], weights, 4, by_sentence=True)
+    assert [[s for s, _ in x] for x in together] == [["worse"], ["bad"]]
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     scored = toxicity.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     n = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
-    assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.8 and n[1, 1] / (n[1, 1] + n[1, 0]) > 0.75
+    assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.9 and n[1, 1] / (n[1, 1] + n[1, 0]) >= 0.85
 
 
 def test_token_counts_of_a_long_text_beside_clashing_columns(spark):
