@@ -2,9 +2,11 @@
 
 State per endpoint pair is the open flow's running sums, so it has the same size however long the flow is. There are two forms.
 
-``track_in_order`` holds rows back, in state, by slices of event time, until the watermark has passed their slice, and only then
-takes them in, in order: a row that comes late but not behind the watermark joins its flow, and any order of arrival gives
-the same flows. A task holds one chunk of a trigger's rows, or one slice of a pair, at a time.
+``track_in_order`` holds rows back, in state, until the watermark has passed their slice of event time, and only then takes them
+in, in order: a row that comes late but not behind the watermark joins its flow, and any order of arrival gives the same
+flows. Pairs are dealt to buckets that share a state, since calls to the state store, not rows, are what takes time: a
+trigger makes a few for each bucket and one or two for each block of held rows, however many pairs there are. A task holds a
+bucket's open flows, a million of its rows as they come in, and a block of each million as they are merged.
 
 ``track`` takes rows in at once, in order within a trigger, so flows end as soon as their last packet is there. A trigger's rows of
 one pair are held in memory: the source's files per trigger bound them. A row that is older than the last one of its open
@@ -16,8 +18,9 @@ In both forms rows behind the watermark don't reach the tracker; Spark counts th
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,9 +36,12 @@ SUMS = ["first_us", "last_us", "n", "bytes", "nf", "fwd_bytes", "first_f", "last
 #: The sum of squared gaps may pass 64 bits and is kept as two numbers.
 STATE = ", ".join(f"{c} long" for c in [*SUMS, "gap_squares_high"])
 LOW = (1 << 62) - 1
-#: A row held back: time, place, sizes, direction and flags (a bit for each letter that counts).
-HELD = np.dtype([("us", "<i8"), ("seq", "<i8"), ("size", "<i4"), ("header", "<i4"), ("fwd", "?"), ("flags", "u1")])
+#: A row held back: pair, time, place, sizes, direction and flags (a bit for each letter that counts).
+HELD = np.dtype([("pair", "<i4"), ("us", "<i8"), ("seq", "<i8"), ("size", "<i4"), ("header", "<i4"), ("fwd", "?"), ("flags", "u1")])
+LETTERS = ["".join(c for i, c in enumerate(FLAG_LETTERS) if bits >> i & 1) for bits in range(1 << len(FLAG_LETTERS))]
 SLICE_US = 1_000_000
+#: Groups of endpoint pairs that share a state, rows of a block held back, and rows that are put into blocks at once.
+BUCKETS, BLOCK, HELD_AT_ONCE = 256, 16_384, 1 << 20
 LATE = "late"
 OUTPUT = "lo_ip string, hi_ip string, lo_port int, hi_port int, proto int, start_us long, end_us long, reason string, " + ", ".join(f"{f} double" for f in FEATURES)
 
@@ -88,6 +94,10 @@ def from_state(known: tuple) -> dict:
     return s | {"gap_squares": (known[len(SUMS)] << 62) + s["gap_squares"]}
 
 
+def in_order(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort((rows["seq"], rows["us"]))]
+
+
 class Tracker(StatefulProcessor):
     def __init__(self, timeout_us: int, max_packets: int, min_packets: int):
         self.timeout_us, self.max_packets, self.min_packets = timeout_us, max_packets, min_packets
@@ -156,79 +166,142 @@ class Tracker(StatefulProcessor):
 
 
 class OrderedTracker(Tracker):
-    """Rows wait in ``held``, a map from slices of event time to their rows, until the watermark has passed their slice."""
+    """Tracks all pairs of a bucket; a pair is known by its key as JSON text, and within a call by its place in ``keys``.
+
+    Rows wait in ``held``, in blocks that are each in order of time, until the watermark has passed their slice. A block's key
+    is its first time, with a number for blocks that begin alike. ``flow`` lists the bucket's open flows.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.held = handle.getMapState("held", "slice long", "rows binary")
+        self.handle = handle
+        self.held = handle.getMapState("held", "first_us long, number long", "pairs string, rows binary")
+        self.flow = handle.getListState("flow", f"pair string, {STATE}")
+
+    def _begin(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.keys: list[list] = []
+
+    def _code(self, pair: str) -> int:
+        if pair not in self.codes:
+            self.codes[pair] = len(self.keys)
+            lo_ip, hi_ip, *numbers = json.loads(pair)
+            self.keys.append([lo_ip, hi_ip, *(n if n is None else int(n) for n in numbers)])
+        return self.codes[pair]
 
-    def _hold(self, chunk: pd.DataFrame) -> None:
+    def _coded(self, pairs: Iterable[str]) -> np.ndarray:
+        return np.array([self._code(p) for p in pairs], "<i4")
+
+    def _rows(self, chunk: pd.DataFrame) -> np.ndarray:
         rows = np.zeros(len(chunk), HELD)
         for name, column in (("us", "ts_us"), ("seq", "pkt_seq"), ("size", "pkt_len"), ("header", "header_len"), ("fwd", "is_fwd")):
             rows[name] = chunk[column].to_numpy()
-        flags = chunk["flags"].fillna("")
-        for i, letter in enumerate(FLAG_LETTERS):
-            rows["flags"] |= flags.str.contains(letter, regex=False).to_numpy(bool).astype(np.uint8) << i
-        of = rows["us"] // SLICE_US
-        for k in np.unique(of).tolist():
-            before = bytes(self.held.getValue((k,))[0]) if self.held.containsKey((k,)) else b""
-            self.held.updateValue((k,), (before + rows[of == k].tobytes(),))
-
-    def _advance(self, key: tuple, watermark_ms: int, out: list) -> None:
+        at, pairs = pd.factorize(chunk["pair"])
+        rows["pair"] = self._coded(pairs)[at]
+        at, flags = pd.factorize(chunk["flags"].fillna(""))
+        rows["flags"] = np.array([sum((c in f) << i for i, c in enumerate(FLAG_LETTERS)) for f in flags], "u1")[at]
+        return rows
+
+    def _hold(self, rows: np.ndarray) -> None:
+        rows, pairs = in_order(rows), list(self.codes)
+        for start in range(0, len(rows), BLOCK):
+            block = rows[start : start + BLOCK]
+            used, block["pair"] = np.unique(block["pair"], return_inverse=True)
+            key = (int(block["us"][0]), 0)
+            while self.held.containsKey(key):
+                key = (key[0], key[1] + 1)
+            self.held.updateValue(key, ("\n".join(pairs[i] for i in used), block.tobytes()))
+
+    def _complete(self, edge: int) -> Iterator[np.ndarray]:
+        """The rows held from before ``edge``, in order and in parts: blocks are merged as their times overlap."""
+        due = sorted(k for k in map(tuple, self.held.keys()) if k[0] < edge)
+        left = np.empty(0, HELD)
+        for k, after in zip(due, [*(k[0] for k in due[1:]), edge], strict=False):
+            pairs, data = self.held.getValue(k)
+            self.held.removeKey(k)
+            block = np.frombuffer(bytes(data), HELD).copy()
+            block["pair"] = self._coded(pairs.split("\n"))[block["pair"]]
+            rows = np.concatenate([left, block])
+            now = rows["us"] < after
+            left = rows[~now]
+            yield in_order(rows[now])
+        self._hold(left)
+
+    def _advance(self, watermark_ms: int) -> Iterator[pd.DataFrame]:
         """Take in the slices that are complete, close what is idle by then, and set the timer for what comes next."""
-        complete = watermark_ms * 1000 // SLICE_US
-        s = from_state(self.flow.get()) if self.flow.exists() else None
-        left = sorted(k[0] for k in self.held.keys())
-        for k in [k for k in left if k < complete]:
-            rows = np.frombuffer(bytes(self.held.getValue((k,))[0]), HELD)
-            for us, _, size, header, fwd, bits in np.sort(rows, order=["us", "seq"]).tolist():
-                s = self._take(key, s, us, size, header, fwd, "".join(c for i, c in enumerate(FLAG_LETTERS) if bits >> i & 1), out)
-            self.held.removeKey((k,))
-        if s and s["last_us"] + self.timeout_us < complete * SLICE_US:
-            self._close(key, s, "idle", out)
-            s = None
-        if s:
-            self.flow.update(to_state(s))
+        edge = watermark_ms * 1000 // SLICE_US * SLICE_US
+        out: list = []
+        flows = {self._code(pair): from_state(known) for pair, *known in (self.flow.get() if self.flow.exists() else ())}
+        for rows in self._complete(edge):
+            for start in range(0, len(rows), BLOCK):
+                for pair, us, _, size, header, fwd, bits in rows[start : start + BLOCK].tolist():
+                    s = self._take(self.keys[pair], flows.pop(pair, None), us, size, header, fwd, LETTERS[bits], out)
+                    if s:
+                        flows[pair] = s
+                yield from self._frame(out)
+                out.clear()
+        for pair in [p for p, s in flows.items() if s["last_us"] + self.timeout_us < edge]:
+            self._close(self.keys[pair], flows.pop(pair), "idle", out)
+        yield from self._frame(out)
+        if flows:
+            pairs = list(self.codes)
+            self.flow.put([(pairs[p], *to_state(s)) for p, s in flows.items()])
         else:
             self.flow.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        ends = [k + 1 for k in left if k >= complete][:1] + ([(s["last_us"] + self.timeout_us) // SLICE_US + 1] if s else [])
+        ends = [k[0] // SLICE_US + 1 for k in self.held.keys()] + [(s["last_us"] + self.timeout_us) // SLICE_US + 1 for s in flows.values()]
         if ends:
             self.handle.registerTimer(min(ends) * SLICE_US // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self._begin()
+        chunks: list[np.ndarray] = []
         for chunk in rows:
-            self._hold(chunk)
-        out: list = []
-        self._advance(key, timerValues.getCurrentWatermarkInMs(), out)
-        yield from self._frame(out)
+            chunks.append(self._rows(chunk))
+            if sum(map(len, chunks)) >= HELD_AT_ONCE:
+                self._hold(np.concatenate(chunks))
+                chunks = []
+        if chunks:
+            self._hold(np.concatenate(chunks))
+        yield from self._advance(timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out: list = []
-        self._advance(key, timerValues.getCurrentWatermarkInMs(), out)
-        yield from self._frame(out)
+        self._begin()
+        yield from self._advance(timerValues.getCurrentWatermarkInMs())
 
 
-def _tracked(packets: DataFrame, tracker: Tracker) -> DataFrame:
-    rows = keyed(packets.withColumn("ts_us", F.unix_micros("ts"))).select(*KEY, "ts", "ts_us", "pkt_seq", "pkt_len", "header_len", "is_fwd", "flags")
-    return rows.groupBy(*KEY).transformWithStateInPandas(tracker, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+PASSED = ["ts", "ts_us", "pkt_seq", "pkt_len", "header_len", "is_fwd", "flags"]
+
+
+def _keyed(packets: DataFrame) -> DataFrame:
+    return keyed(packets.withColumn("ts_us", F.unix_micros("ts")))
 
 
 def track(packets: DataFrame, timeout_us: int = TIMEOUT_US, max_packets: int = MAX_PACKETS, min_packets: int = 2) -> DataFrame:
     """Closed flows of a packet stream that has a watermark on ts, and counts of late rows. Needs the RocksDB state store."""
-    return _tracked(packets, Tracker(timeout_us, max_packets, min_packets))
+    rows, tracker = _keyed(packets).select(*KEY, *PASSED), Tracker(timeout_us, max_packets, min_packets)
+    return rows.groupBy(*KEY).transformWithStateInPandas(tracker, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+
 
+def track_in_order(packets: DataFrame, timeout_us: int = TIMEOUT_US, max_packets: int = MAX_PACKETS, min_packets: int = 2, buckets: int = BUCKETS) -> DataFrame:
+    """Closed flows of a packet stream that has a watermark on ts, whatever the order in which rows ahead of it come.
 
-def track_in_order(packets: DataFrame, timeout_us: int = TIMEOUT_US, max_packets: int = MAX_PACKETS, min_packets: int = 2) -> DataFrame:
-    """Closed flows of a packet stream that has a watermark on ts, whatever the order in which rows ahead of it come."""
-    return _tracked(packets, OrderedTracker(timeout_us, max_packets, min_packets))
+    A checkpoint is bound to its number of ``buckets``.
+    """
+    bucket, pair = F.pmod(F.xxhash64(*KEY), F.lit(buckets)), F.to_json(F.array(*[F.col(c).cast("string") for c in KEY]))
+    rows, tracker = _keyed(packets).select(bucket.alias("bucket"), pair.alias("pair"), *PASSED), OrderedTracker(timeout_us, max_packets, min_packets)
+    return rows.groupBy("bucket").transformWithStateInPandas(tracker, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The flows that are open in the state of a stopped tracker's checkpoint: the endpoint pair and the flow's sums."""
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "flow").load()
-    return state.select(*[F.col(f"key.{c}").alias(c) for c in KEY], *[F.col(f"value.{c}").alias(c) for c in ("first_us", "last_us", "n", "bytes")])
+    sums = ("first_us", "last_us", "n", "bytes")
+    if "list_element" not in state.columns:  # of ``track``
+        return state.select(*[F.col(f"key.{c}").alias(c) for c in KEY], *[F.col(f"value.{c}").alias(c) for c in sums])
+    pair = F.from_json("list_element.pair", "array<string>")
+    types = dict.fromkeys(KEY[:2], "string") | dict.fromkeys(KEY[2:], "int")
+    return state.select(*[F.get(pair, F.lit(i)).cast(types[c]).alias(c) for i, c in enumerate(KEY)], *[F.col(f"list_element.{c}").alias(c) for c in sums])
 
 
 def flows_of(tracked: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators import flows as fl
 from rillflow.schema import FEATURES
 from rillflow.sources import packets as src
-from rillflow.streaming import jobs
+from rillflow.streaming import jobs, tracker
 from rillflow.streaming.tracker import from_state, open_flows, opened, to_state, track_in_order
 from tests.test_streams import packets_at
 
@@ -105,3 +106,46 @@ def test_long_timeouts(spark):
     assert flow["packet_count"] == 3 and abs(flow["flow_iat_std"] - 3549.5) < 1e-6
     state = opened(5) | {"gap_squares": 3 * 7_100_000_000**2 * 10**6}
     assert from_state(to_state(state)) == state and max(to_state(state)) < 1 << 63
+
+
+def test_state_is_touched_by_buckets_and_blocks_not_by_pairs(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, round(rng.uniform(0, 3_000), 6), i % 1_000, rng.choice(["A", "A", "FA"])) for i in range(6_000)]
+    rng.shuffle(rows)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_triggers(spark, [rows[:3_000], rows[3_000:], [(9_900, 86_400, 1_000, "A")]], folder)
+    jobs.use_rocksdb(spark)
+    stream = track_in_order(src.read_stream(spark, folder, late="1 hour", files_per_trigger=1), buckets=16)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    assert max(o.numRowsUpdated for p in query.recentProgress for o in p.stateOperators) < 500
+    got = sorted(map(tuple, spark.read.parquet(out).select(*COLUMNS).collect()))
+    assert got == batch_flows(spark, rows)
+
+
+class Held(dict):
+    """Map state of one key."""
+
+    containsKey, getValue, removeKey, updateValue = dict.__contains__, dict.__getitem__, dict.__delitem__, dict.__setitem__  # noqa: N815
+
+
+def test_blocks_are_merged_in_order_and_none_is_lost(monkeypatch):
+    monkeypatch.setattr(tracker, "BLOCK", 8)
+    one, rng = tracker.OrderedTracker(1, 1, 1), random.Random(11)
+    one.held = Held()
+    want = []
+    for batch in range(6):
+        one._begin()
+        rows = np.zeros(50, tracker.HELD)
+        # many equal times, of blocks of the same trigger too
+        rows["us"], rows["seq"] = [rng.randrange(batch * 20, batch * 20 + 40) for _ in range(50)], range(batch * 50, batch * 50 + 50)
+        pairs = [rng.choice("abc") for _ in range(50)]
+        rows["pair"] = one._coded(f'["{p}", "z", "1", "2", "6"]' for p in pairs)
+        want += [(us, seq, p) for us, seq, p in zip(rows["us"].tolist(), rows["seq"].tolist(), pairs, strict=True)]
+        one._hold(rows)
+        edge = batch * 20 + 10 if batch < 5 else 1_000
+        one._begin()
+        got = [(r["us"], r["seq"], one.keys[r["pair"]][0]) for part in one._complete(edge) for r in part]
+        assert got == sorted(r for r in want if r[0] < edge)
+        want = [r for r in want if r[0] >= edge]
+    assert not want and not one.held
