@@ -104,7 +104,7 @@ def test_model_folder_problems(spark, tmp_path):
         bl.load_model(spark, str(tmp_path / "n"), ["a", "b"])
 
 
-@pytest.mark.parametrize("name", ["update_baseline_ema"])
+@pytest.mark.parametrize("name", ["update_baseline_ema", "update_baseline_replace"])
 def test_updates_by_no_vector_match_sql(spark, tmp_path, name):
     # all lie at distance 1 of their centroid 0, so none is clearly normal
     rows = [(2 * i + j, [sign if k == i else 0.0 for k in range(64)], i % 10) for i in range(64) for j, sign in enumerate((1.0, -1.0))]
