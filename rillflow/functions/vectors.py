@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def _sum(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    """The sum of the elements that aren't null; null if there are none."""
+    return F.aggregate(v, F.lit(None).cast("double"), lambda a, x: F.coalesce(a + x, a, x))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
+    """Over the positions that both have."""
     return _sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
@@ -24,8 +26,8 @@ def l2_normalized(v: Column, eps: float = 1e-12) -> Column:
 
 
 def mean_by_position(v: Column, dim: int) -> Column:
-    """Aggregate: the element-wise mean, by one partial average for each of ``dim`` positions."""
-    return F.array(*[F.avg(F.element_at(v, i + 1)) for i in range(dim)])
+    """Aggregate: the element-wise mean, by one partial average for each of ``dim`` positions, over the vectors that have it."""
+    return F.array(*[F.avg(F.get(v, F.lit(i))) for i in range(dim)])
 
 
 def blended(old: Column, new: Column, alpha: float) -> Column:

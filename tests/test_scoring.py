@@ -111,3 +111,16 @@ def test_updates_by_no_vector_match_sql(spark, tmp_path, name):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     here, there, wrong = differences(registry.QUERIES[name](spark, str(tmp_path)), registry.SQL[name], str(tmp_path))
     assert here == there == 64 and not wrong, wrong
+
+
+@pytest.mark.parametrize("name", ["update_baseline_replace", "update_baseline_ema"])
+def test_updates_by_odd_vectors_match_sql(spark, tmp_path, name):
+    # nulls, and positions that a vector has too few or too many of, are left out; the vector's others count
+    rng = np.random.default_rng(5)
+    unit = [(v / np.linalg.norm(v)).tolist() for v in rng.standard_normal((300, 64))]
+    odd = [[None, *unit[0][1:]], [None] * 64, [0.0] * 63 + [None], unit[1][:32], [*unit[2], 0.1], [], None, [float("nan")] + [0.0] * 63]
+    for part, more in {"finite": odd[:-1], "nan": odd}.items():
+        rows = [(i, v, i % 10) for i, v in enumerate([*unit, *more])]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / part / "embeddings.parquet"))
+        here, there, wrong = differences(registry.QUERIES[name](spark, str(tmp_path / part)), registry.SQL[name], str(tmp_path / part))
+        assert here == there == 64 and not wrong, wrong
